@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from bramble.llm.archives import op7_warc
 from bramble.llm.licenses import op4_licenses
 from bramble.llm.media import op3_media
+from bramble.llm.neardup import op8_near_duplicates
 from bramble.llm.packing import op5_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media, op4_licenses, op5_packing, op7_warc)}
+    return {f.__name__: f for f in (op3_media, op4_licenses, op5_packing, op7_warc, op8_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
