@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bramble.llm.archives import op7_warc
+from bramble.llm.decontaminate import op2_decontamination
 from bramble.llm.licenses import op4_licenses
 from bramble.llm.maxent import op9_maxent
 from bramble.llm.media import op3_media
 from bramble.llm.neardup import op8_near_duplicates
 from bramble.llm.packing import op5_packing
+from bramble.llm.pii import op6_pii
+from bramble.llm.quality import op1_quality
 from bramble.llm.urls import op10_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media, op4_licenses, op5_packing, op7_warc, op8_near_duplicates, op9_maxent, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_media, op4_licenses, op5_packing, op6_pii, op7_warc, op8_near_duplicates, op9_maxent, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
