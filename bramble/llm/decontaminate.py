@@ -200,46 +200,78 @@ class Items:
             yield (doc, item, *got)
 
 
+def blocks_of(benchmark: DataFrame, size: int = BLOCK):
+    """Broadcasts of at most about ``size`` (item_id, text) each, taken one after the other."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    blocks = max(1, -(-items.count() // size))
+    for b in range(blocks):
+        yield spark.sparkContext.broadcast([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()])
+
+
+def found_in(texts, known: Items, ratio: float):
+    """(row, item, distance, first, end) of leaks in an Arrow column of texts."""
+    held: list[list[bytes]] = []
+    done, n = 0, 0
+    for i, text in enumerate(texts):
+        held.append(words(text.as_py()))
+        n += len(held[-1])
+        if n > 400_000 or i == len(texts) - 1:
+            for d, *rest in known.find(held, ratio):
+                yield (done + d, *rest)
+            done, n, held = i + 1, 0, []
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least: int = 8, recall: float = 0.95, hamming: float = 0.25) -> DataFrame:
     """One row for each text of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it holds."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     times = repetitions(recall, hamming)
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    blocks = max(1, -(-items.count() // BLOCK))
-
-    def of_block(b: int) -> DataFrame:
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        sent = spark.sparkContext.broadcast(rows)
 
+    def of_block(sent) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
             known = Items(sent.value, ratio, least, times)
             titles = [x.split()[0] for x in SCHEMA.split(", ")]
             for batch in batches:
-                if not known.ids:
-                    continue
-                names = batch.column(0).to_pylist()
-                texts: list[list[bytes]] = []
-                done, held = 0, 0
-                out = []
-                for i, text in enumerate(batch.column(1)):
-                    texts.append(words(text.as_py()))
-                    held += len(texts[-1])
-                    if held > 400_000 or i == batch.num_rows - 1:
-                        out += [(names[done + d], known.ids[item], k, len(known.texts[item]), s, e - 1) for d, item, k, s, e in known.find(texts, ratio)]
-                        done, held, texts = i + 1, 0, []
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(len(titles))], titles)
+                if known.ids and batch.num_rows:
+                    names = batch.column(0).to_pylist()
+                    out = [(names[d], known.ids[item], k, len(known.texts[item]), s, e - 1) for d, item, k, s, e in found_in(batch.column(1), known, ratio)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(len(titles))], titles)
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
-    found = of_block(0)
-    for b in range(1, blocks):
-        found = found.union(of_block(b))
+    found = None
+    for sent in blocks_of(benchmark):
+        found = of_block(sent) if found is None else found.union(of_block(sent))
     return found
 
 
+def filtered(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least: int = 8, recall: float = 0.95, hamming: float = 0.25) -> DataFrame:
+    """The rows of ``docs`` (text, ...) that hold no item, with all their columns; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    times = repetitions(recall, hamming)
+    at = docs.columns.index("text")
+
+    def without(frame: DataFrame, sent) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            known = Items(sent.value, ratio, least, times)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                if known.ids:
+                    for row, *_ in found_in(batch.column(at), known, ratio):
+                        keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        return frame.mapInArrow(run, frame.schema)
+
+    for sent in blocks_of(benchmark):
+        docs = without(docs, sent)
+    return docs
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks of the benchmark into all documents."""
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

@@ -191,7 +191,7 @@ def replaced(text: Column, found: Column, key: str, draws: Column | None) -> Col
 
 
 def surrogates(docs: DataFrame, key: str, *, column: str = "text") -> DataFrame:
-    """``docs`` with all personal data in ``column`` replaced; keeps the columns, and adds ``pii_entities`` (mentions replaced)."""
+    """``docs`` with all personal data in ``column`` replaced; keeps the columns, and adds ``pii_entities`` (mentions replaced) in place of any such column."""
     work = Workspace(docs.sparkSession, "pii")
     texts = docs.select(F.col(column).cast("string").alias("t")).withColumn("found", mentions(F.col("t"))).filter(F.size("found") > 0)
     flat = texts.select(F.explode("found").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
@@ -209,18 +209,18 @@ def surrogates(docs: DataFrame, key: str, *, column: str = "text") -> DataFrame:
         k += 1
         table = work.table(table.join(again.withColumn("more", F.lit(1)), ["kind", "canonical"], "left").select("kind", "canonical", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), f"entities-{k}")
     text = F.col(column).cast("string")
-    out, draws = docs.withColumn("_found", mentions(text)), None
+    out, draws = docs.withColumn("__pii_found", mentions(text)), None
     if k:
         later = table.filter("attempt > 0").select(F.concat_ws("|", "kind", "canonical").alias("e"), "attempt")
-        held = texts.select(F.sha2("t", 256).alias("_text"), F.explode(F.array_distinct("found")).alias("m")).distinct().withColumn("k", kind_of(F.col("m")))
-        held = held.select("_text", F.explode(entities(F.col("m"), F.col("k"))).alias("x")).select("_text", F.concat_ws("|", "x.kind", "x.canonical").alias("e")).distinct()
-        maps = held.join(later, "e").groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("_draws"))
-        out = out.withColumn("_text", F.sha2(text, 256)).join(work.table(maps, "draws"), "_text", "left")
-        draws = F.coalesce("_draws", F.create_map().cast("map<string,int>"))
-    new = replaced(text, F.col("_found"), key, draws)
-    out = out.withColumn("_new", new)
-    columns = [F.col("_new").alias(c) if c == column else F.when(F.size("_found") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns, F.coalesce(F.size("_found"), F.lit(0)).alias("pii_entities"))
+        held = texts.select(F.sha2("t", 256).alias("__pii_text"), F.explode(F.array_distinct("found")).alias("m")).distinct().withColumn("k", kind_of(F.col("m")))
+        held = held.select("__pii_text", F.explode(entities(F.col("m"), F.col("k"))).alias("x")).select("__pii_text", F.concat_ws("|", "x.kind", "x.canonical").alias("e")).distinct()
+        maps = held.join(later, "e").groupBy("__pii_text").agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("__pii_draws"))
+        out = out.withColumn("__pii_text", F.sha2(text, 256)).join(work.table(maps, "draws"), "__pii_text", "left")
+        draws = F.coalesce("__pii_draws", F.create_map().cast("map<string,int>"))
+    new = replaced(text, F.col("__pii_found"), key, draws)
+    out = out.withColumn("__pii_new", new)
+    columns = [F.col("__pii_new").alias(c) if c == column else F.when(F.size("__pii_found") > 0, F.length("__pii_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c != "pii_entities"]
+    return out.select(*columns, F.coalesce(F.greatest(F.size("__pii_found"), F.lit(0)), F.lit(0)).alias("pii_entities"))
 
 
 #: A caller with data of their own names a key of their own.
