@@ -4,13 +4,17 @@ A document's set is its distinct word shingles.  Documents of equal sets form a
 class, and classes are compared once:
 
 1. bands of a class's signature put it into buckets;
-2. in rounds, a few pivots of each bucket are paired with the bucket's other
-   classes that aren't connected to them yet.  After a round the pivots leave,
-   so every pair of a bucket is decided or already connected when the rounds end, without
-   all pairs of a large bucket being made;
-3. a pair's signatures are compared batch by batch; it is dropped as soon as the
+2. the least class of a bucket, its pivot, is paired with the others, which
+   connects most buckets;
+3. buckets that still hold classes not connected with each other are compared whole, in
+   tiles of bounded size: those outside the bucket's largest component against
+   all.  Tiles hold signatures, and give a pair only where it first meets;
+4. a pair's signatures are compared batch by batch; it is dropped as soon as the
    posterior probability of the sought similarity falls below ``miss``;
-4. survivors are verified on their full sets, and links are joined to components.
+5. survivors are verified on their full sets, and links are joined to components.
+
+So each pair that shares a bucket is decided or already connected, without all pairs of
+a bucket being made.  The hashes for bands and for comparison are independent.
 
 Null and empty texts, and texts without words, have empty sets: linked with
 nothing, their component is their own id.  Repeated rows have equal sets.  A
@@ -32,7 +36,10 @@ from bramble.llm.common import Workspace, load, small_batches
 from bramble.llm.components import stars
 
 BANDS, ROWS = 32, 5
-BATCH = 32
+#: Hashes for comparison, of which 8 bits are kept, and how many are looked at before a pair is judged again.
+COMPARED, BATCH = 512, 32
+#: Classes on a side of a tile, as an expectation.
+TILE = 2048
 SEED = 20240229
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,24 +72,37 @@ def shingles(text: str | None, k: int, known: WordHashes) -> np.ndarray:
 
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least 32-bit value of the set under each of the hash functions a*x+b."""
-    low = np.full(len(a), 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(hashes), 512):
-        x = a[:, None] * hashes[None, i : i + 512]
-        x += b[:, None]
-        low = np.minimum(low, x.min(axis=1) >> np.uint64(32))
-    return low.astype("<u4")
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 128):
+        y = np.multiply.outer(x[i : i + 128], a)
+        y += b
+        np.minimum(low, y.min(axis=0), out=low)
+    return low
 
 
 def functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.Generator(np.random.PCG64(SEED))
-    return r.integers(0, 1 << 64, n, np.uint64) | np.uint64(1), r.integers(0, 1 << 64, n, np.uint64)
+    return r.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), r.integers(0, 1 << 32, n, np.uint32)
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band; the band's number is mixed in."""
+    s = low.reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        key = (key ^ s[:, i]) * MULTIPLIER
+        key ^= key >> np.uint64(31)
+    return key
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """The fewest matches of n hashes at which P(similarity >= threshold) is at least ``miss``, from a uniform prior.
 
     The posterior is a Beta distribution, whose tail is P(Binomial(n + 1, threshold) <= matches).
+    Of two unequal minima one in 256 agrees in the 8 bits kept.
     """
+    threshold += (1 - threshold) / 256
     total = 0.0
     for m in range(n + 1):
         total += np.exp(lgamma(n + 2) - lgamma(m + 1) - lgamma(n + 2 - m) + m * log(threshold) + (n + 1 - m) * log(1 - threshold))
@@ -91,8 +111,8 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def classes(docs: DataFrame, k: int, hashes: int = BANDS * ROWS) -> DataFrame:
-    """(row, doc_id, n, digest, signature) of each document; digest and signature are null for empty sets."""
+def classes(docs: DataFrame, k: int) -> DataFrame:
+    """(row, doc_id, n, digest, bands, signature) of each document; the last three are null for empty sets."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -100,19 +120,22 @@ def classes(docs: DataFrame, k: int, hashes: int = BANDS * ROWS) -> DataFrame:
         from pyspark import TaskContext
 
         row, known = TaskContext.get().partitionId() << 40, WordHashes()
-        a, b = functions(hashes)
+        a, b = functions(BANDS * ROWS + COMPARED)
         for batch in batches:
-            sizes, digests, signatures = [], [], []
+            out = []
             for text in batch.column(1):
                 s = shingles(text.as_py(), k, known)
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                signatures.append(signature(s, a, b).tobytes() if len(s) else None)
-            rows = pa.array(range(row, row + len(sizes)), pa.int64())
-            row += len(sizes)
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["row", "doc_id", "n", "digest", "signature"])
+                if len(s):
+                    low = signature(s, a, b)
+                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(low[: BANDS * ROWS]).tobytes(), low[BANDS * ROWS :].astype(np.uint8).tobytes()))
+                else:
+                    out.append((0, None, None, None))
+            rows = pa.array(range(row, row + len(out)), pa.int64())
+            row += len(out)
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), *columns], ["row", "doc_id", "n", "digest", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n long, digest binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n long, digest binary, bands binary, signature binary")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
@@ -122,16 +145,11 @@ def buckets(sets: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(s), 1))
-            for i in range(ROWS):
-                key = (key ^ s[:, :, i]) * MULTIPLIER
-                key ^= key >> np.uint64(31)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["key", "id", "n"])
+            if batch.num_rows:
+                key = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["key", "id", "n"])
 
-    return sets.select("id", "n", "signature").mapInArrow(run, "key long, id long, n long")
+    return sets.select("id", "n", "bands").mapInArrow(run, "key long, id long, n long")
 
 
 def pruned(pairs: DataFrame, sets: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -142,18 +160,85 @@ def pruned(pairs: DataFrame, sets: DataFrame, threshold: float, miss: float) ->
     def run(batches):
         import pyarrow as pa
 
-        steps = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+        steps = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, COMPARED + 1, BATCH)]
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, BANDS * ROWS) for i in (2, 3))
-            alive, got = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for n, least in steps:
-                got = got + (left[alive, n - BATCH : n] == right[alive, n - BATCH : n]).sum(axis=1)
-                alive, got = alive[got >= least], got[got >= least]
-            yield batch.select([0, 1]).take(pa.array(alive))
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COMPARED) for i in (2, 3))
+            yield batch.select([0, 1]).take(pa.array(alike(left, right, np.arange(batch.num_rows), np.arange(batch.num_rows), steps)))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def alike(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs left[i], right[j] remain."""
+    alive, got = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for n, least in steps:
+        got = got + (left[i[alive], n - BATCH : n] == right[j[alive], n - BATCH : n]).sum(axis=1)
+        alive, got = alive[got >= least], got[got >= least]
+    return alive
+
+
+def tiles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, x, y, side, id, n, label, home, bands, signature) of buckets ``members`` (key, id, n, label) that hold several labels.
+
+    Side 0 are the classes outside the bucket's commonest label, side 1 are all; tile (x, y) has
+    a share of each.  Both are dealt to as many tiles as the other side has shares.
+    """
+    sums = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("labels"))
+    shares = lambda n: F.ceil(n / TILE).cast("int")
+    plan = sums.filter("labels > 1").select("key", F.col("top.label").alias("home"), shares(F.col("m") - F.col("top.m")).alias("h"), shares(F.col("m")).alias("g"))
+    own = members.join(plan, "key").withColumn("draw", F.xxhash64("id"))
+    x, y = F.pmod("draw", F.col("h")).cast("int"), F.pmod("draw", F.col("g")).cast("int")
+    away = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda v: F.struct(x.alias("x"), v.alias("y"), F.lit(0).alias("side")))
+    every = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda v: F.struct(v.alias("x"), y.alias("y"), F.lit(1).alias("side")))
+    dealt = own.select("key", "id", "n", "label", "home", F.explode(F.when(F.col("label") != F.col("home"), F.concat(away, every)).otherwise(every)).alias("t")).select("key", "t.*", "id", "n", "label", "home")
+    return dealt.join(sets.select("id", "bands", "signature"), "id")
+
+
+def met(dealt: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of different labels within tiles that their signatures don't rule out, each where it first meets."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "side").select("key", "x", "y", "side", "id", "n", "label", "home", "bands", "signature")
+
+    def run(batches):
+        import pyarrow as pa
+
+        steps = [(k, least_matches(k, percent / 100, miss)) for k in range(BATCH, COMPARED + 1, BATCH)]
+
+        def compare(rows: list):
+            side, ids, sizes, labels, home = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6, 7))
+            bands = np.frombuffer(b"".join(r[8] for r in rows), np.uint64).reshape(-1, BANDS)
+            seen = np.frombuffer(b"".join(r[9] for r in rows), np.uint8).reshape(-1, COMPARED)
+            away, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            here = np.flatnonzero(bands[0] == np.int64(rows[0][0]).astype(np.uint64))[0]
+            for at in range(0, len(away), 128):
+                a = away[at : at + 128]
+                p = 100 * np.minimum.outer(sizes[a], sizes[every]) >= percent * np.maximum.outer(sizes[a], sizes[every])
+                p &= labels[a][:, None] != labels[every][None, :]
+                # two classes that are both away meet twice
+                p &= (labels[every] == home[every])[None, :] | (ids[a][:, None] < ids[every][None, :])
+                i, j = np.nonzero(p)
+                i, j = a[i], every[j]
+                left = alike(seen, seen, i, j, steps)
+                i, j = i[left], j[left]
+                first = ~(bands[i, :here] == bands[j, :here]).any(axis=1)
+                yield np.minimum(ids[i], ids[j])[first], np.maximum(ids[i], ids[j])[first]
+
+        held: list = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] != held[0][:3]:
+                    if len(held) > 1:
+                        for a, b in compare(held):
+                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    held = []
+                held.append(row)
+        if len(held) > 1:
+            for a, b in compare(held):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return sorted_.mapInArrow(run, "a long, b long")
+
+
 def full_sets(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(id, hashes) of the classes ``needed`` (id, doc_id, digest), from their documents' texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -194,48 +279,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")
     rows = work.table(classes(docs, shingle_words), "rows")
     # One row a class.  The least row stands for it; min is a partial aggregate, so copies of one text don't meet in a task.
     named = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"))
-    sets = work.table(named.join(rows.select(F.col("row").alias("id"), "n", "signature", F.col("doc_id").alias("own")), "id"), "sets")
-    members = buckets(sets)
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    active = work.table(members.join(shared, "key"), "members-0")
-    links, k, salts = None, 0, 1
-    while True:
-        label = F.col("id")
-        at = active.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(k)), F.lit(salts)))
-        if links is not None:
-            at = at.join(links.select(F.col("hi").alias("id"), "lo"), "id", "left")
-            label = F.coalesce("lo", "id")
-        at = at.select("key", "salt", "id", "n", label.alias("label"))
-        if links is not None:
-            split = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-            at = work.table(at.join(split, "key"), f"at-{k}")
-            if at.isEmpty():
-                break
-        pivots = at.groupBy("key", "salt").agg(F.min(F.struct("id", "n", "label")).alias("p")).select("key", "salt", "p")
-        met = at.alias("m").join(pivots.alias("p"), "key")
-        fits = (F.col("m.id") != F.col("p.p.id")) & (F.col("m.label") != F.col("p.p.label"))
-        fits &= (100 * F.least("m.n", "p.p.n") >= percent * F.greatest("m.n", "p.p.n"))
-        pairs = met.filter(fits).select(F.least("m.id", "p.p.id").alias("a"), F.greatest("m.id", "p.p.id").alias("b")).distinct()
-        alive = work.table(pruned(pairs, sets, percent / 100, miss), f"alive-{k}")
+    sets = work.table(named.join(rows.select(F.col("row").alias("id"), "n", "bands", "signature", F.col("doc_id").alias("own")), "id"), "sets")
+    every = buckets(sets)
+    pivots = every.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    members = work.table(every.join(pivots, "key"), "members")
+
+    def decide(alive: DataFrame, name: str) -> DataFrame:
+        alive = work.table(alive, f"alive-{name}")
         ids = alive.select(F.col("a").alias("id")).union(alive.select(F.col("b").alias("id"))).distinct()
         needed = sets.join(ids, "id").select("id", F.col("own").alias("doc_id"), "digest")
-        full = work.table(full_sets(needed, docs, shingle_words), f"full-{k}")
-        new = verified(alive, full, percent)
-        if links is not None:
-            new = new.union(links.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
-        links = stars(new, work, f"links-{k}")
-        rest = at.join(pivots.select("key", "salt", F.col("p.id").alias("pivot")), ["key", "salt"]).filter("id <> pivot").select("key", "id", "n")
-        active = work.table(rest, f"members-{k + 1}")
-        for x in (f"alive-{k}", f"full-{k}", f"members-{k}", f"at-{k}"):
-            work.drop(x)
-        k, salts = k + 1, salts * 4
+        full = work.table(full_sets(needed, docs, shingle_words), f"full-{name}")
+        links = work.table(verified(alive, full, percent), f"verified-{name}")
+        work.drop(f"alive-{name}")
+        work.drop(f"full-{name}")
+        return links
+
+    pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    links = stars(decide(pruned(pairs, sets, percent / 100, miss), "pivots"), work, "links-pivots")
+    labelled = members.select("key", "id", "n").join(links.select(F.col("hi").alias("id"), "lo"), "id", "left").select("key", "id", "n", F.coalesce("lo", "id").alias("label"))
+    more = decide(met(tiles(labelled, sets), percent, miss), "tiles")
+    work.drop("members")
+    links = stars(more.union(links.select(F.col("hi").alias("a"), F.col("lo").alias("b"))), work, "links")
     labelled = sets.join(links.select(F.col("hi").alias("id"), "lo"), "id", "left").select("digest", "doc", F.coalesce("lo", "id").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = labelled.join(least, "label").select("digest", "component_id")
@@ -244,6 +315,14 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
+    """``docs`` with one document of each component, and all columns; a row without doc_id stays, as nothing names it."""
+    kept = near_duplicates(docs, shingle_words=shingle_words, percent=percent, miss=miss).filter("kept").select("doc_id").distinct()
+    named = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    one = named.join(kept.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").dropDuplicates(["__id", "text"]).select(*docs.columns)
+    return one.union(named.filter(F.col("__id").isNull()).select(*docs.columns))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked at a similarity of 0.8 over 4-word shingles."""
     return near_duplicates(load(spark, sf_dir, "documents"), shingle_words=4)
