@@ -222,7 +222,7 @@ def found_in(texts, known: Items, ratio: float):
             done, n, held = i + 1, 0, []
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least: int = 8, recall: float = 0.95, hamming: float = 0.25) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least: int = 8, recall: float = 0.99, hamming: float = 0.25) -> DataFrame:
     """One row for each text of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it holds."""
     small_batches(docs.sparkSession)
     times = repetitions(recall, hamming)
@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least:
     return found
 
 
-def filtered(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least: int = 8, recall: float = 0.95, hamming: float = 0.25) -> DataFrame:
+def filtered(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least: int = 8, recall: float = 0.99, hamming: float = 0.25) -> DataFrame:
     """The rows of ``docs`` (text, ...) that hold no item, with all their columns; nothing is shuffled."""
     small_batches(docs.sparkSession)
     times = repetitions(recall, hamming)
