@@ -1,7 +1,7 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent.
 
 One pattern finds e-mail addresses, phone, card and social security numbers, IPv4
-addresses, access tokens, and names after a title.  A mention is
+addresses, access tokens, values after words such as ``password=``, and names after a title.  A mention is
 reduced to entities (kind, canonical form): the digits of a number, a lower-cased
 address, a given name with the title's gender, a surname.  An entity's surrogate
 follows from a key, its kind and its canonical form alone, so all mentions of it, in
@@ -41,7 +41,9 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": rf"(?<!\p{{L}})(?:{TITLE})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
 }
-PATTERN = "|".join(KINDS.values())
+#: A value after such a word; the short look behind spares most places the long one.
+PASSWORD = r"""(?<=[=:"']|[=:] )(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s?[=:]\s?["']?)[0-9A-Za-z+/_~-]{6,128}+"""
+PATTERN = "|".join([*KINDS.values(), PASSWORD])
 
 GIVEN = {
     "m": ["James", "Peter", "Martin", "Paul", "Thomas", "Daniel", "Simon", "Victor", "Oscar", "Julian", "Adrian", "Leon"],
@@ -86,7 +88,7 @@ def masked(text: Column, h: Column, start: int = 0) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
-    out = F.lit(None).cast("string")
+    out = F.lit("secret")  # as a password's value looks like anything
     for kind, pattern in list(KINDS.items())[::-1]:
         out = F.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
@@ -112,7 +114,7 @@ def entities(mention: Column, kind: Column) -> Column:
         F.when(kind == "name", F.when(second == "", F.array(one(F.lit("surname"), first))).otherwise(whole))
         .when(kind == "phone", F.array(one(kind, phone)))
         .when(kind.isin("card", "ssn"), F.array(one(kind, d)))
-        .when(kind.isin("email", "secret"), F.array(one(kind, F.lower(mention))))
+        .when((kind == "email") | (kind == "secret") & mention.rlike("^[0-9A-Fa-f]+$"), F.array(one(kind, F.lower(mention))))
         .otherwise(F.array(one(kind, mention)))
     )
 
@@ -142,8 +144,8 @@ def surrogate(key: str, kind: Column, canonical: Column, attempt: Column) -> Col
     inner = F.when(canonical.startswith("10."), F.lit("10.")).when(canonical.startswith("192.168."), F.lit("192.168.")).otherwise(F.lit(""))
     ip = F.when(inner == "10.", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).when(inner == "192.168.", F.concat_ws(".", F.lit("192.168"), octet(2), octet(3))).otherwise(F.concat_ws(".", (F.lit(11) + number(h, 0) % 100).cast("string"), octet(1), octet(2), octet(3)))
     of_hex = F.array_join(F.transform(F.split(canonical, ""), lambda c, i: pick("0123456789abcdef", number(h, i, 2))), "")
-    prefix = F.regexp_extract(canonical, "^(akia|sk[-_]|ghp[-_]|xoxb[-_]|xoxp[-_])", 1)
-    secret = F.when(prefix == "", of_hex).otherwise(F.concat(prefix, masked(F.substr(canonical, F.length(prefix) + 1), h)))
+    prefix = F.regexp_extract(canonical, "^(AKIA|sk[-_]|ghp[-_]|xoxb[-_]|xoxp[-_])", 1)
+    secret = F.when(canonical.rlike("^[0-9a-f]+$"), of_hex).otherwise(F.concat(prefix, masked(F.substr(canonical, F.length(prefix) + 1), h)))
     body = F.concat(F.substr(canonical, F.lit(1), F.lit(1)), F.array_join(F.transform(F.sequence(F.lit(2), F.length(canonical) - 1), lambda i: pick("0123456789", number(h, i))), ""))
     right = (10 - luhn(F.concat(body, F.lit("0")))) % 10
     check = F.when(luhn(canonical) == 0, right).otherwise((right + 1 + number(h, 0) % 9) % 10)
@@ -168,7 +170,7 @@ def written(mention: Column, kind: Column, made: Column) -> Column:
     char = lambda i: F.substr(mention, i, F.lit(1))
     numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.when(char(i).rlike("[0-9]") & (left(i) <= F.length(first)), F.substr(first, F.length(first) - left(i) + 1, F.lit(1))).otherwise(char(i))), "")
     name = F.concat(F.regexp_extract(mention, rf"^(?:{TITLE})\.? ", 0), F.array_join(F.transform(made, lambda x: F.initcap(x)), " "))
-    cased = F.when(F.upper(mention) == mention, F.upper(first)).otherwise(first)
+    cased = F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(first)).otherwise(first)
     return F.when(kind == "name", name).when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "ip", first).otherwise(cased)
 
 

@@ -55,6 +55,13 @@ def test_same_entity_same_surrogate_and_key(replace):
     assert replace("mail ann.1@x.example.com", key="k") != replace("mail ann.1@x.example.com", key="other")
 
 
+def test_passwords(replace):
+    got = replace("password=e9b9ed9cc9 and PASSWORD=E9B9ED9CC9!! and api_key: 'Zq7-Hunter2'", "the password is short; token: no, secret = a b", "xpassword=e9b9ed9cc9")
+    m = re.fullmatch(r"password=([0-9a-f]{10}) and PASSWORD=([0-9A-F]{10})!! and api_key: '([A-Z][a-z]\d-[A-Z][a-z]{5}\d)'", got[0])
+    assert m and m[1] == m[2].lower() != "e9b9ed9cc9" and m[3] != "Zq7-Hunter2"
+    assert got[1] == "the password is short; token: no, secret = a b"
+
+
 def test_clean_text_is_left_alone(replace):
     clean = ["Plain words, 12 of them. 3.14 and 1999-2000; a@b; 1.2.3; 12345678901; f(x) = (2) 555", "", "version 1.2.3.4.5 has 123456789012345678901234567890 digits", "x" * 50_000 + " @ " + "1." * 20_000]
     assert replace(*clean) == clean
