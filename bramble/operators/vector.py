@@ -21,8 +21,8 @@ _stores: dict[tuple[int, str], tuple[DataFrame, int, int]] = {}
 BLOCK = 1024
 
 
-def positions(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``idx``, its position by ``order`` from 0.
+def positions(df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``idx``, its position by ``order`` from 0, and a frame to unpersist once that is held.
 
     Rows are counted by range partition first, so that no task numbers the whole table.
     """
@@ -36,7 +36,7 @@ def positions(df: DataFrame, order: str) -> DataFrame:
     if start:
         first = F.element_at(F.create_map(*(F.lit(x) for kv in start.items() for x in kv)), F.col("__p")).cast("long")
     rank = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    return placed.withColumn("idx", first + rank).drop("__p")
+    return placed.withColumn("idx", first + rank).drop("__p"), placed
 
 
 def pin(spark: SparkSession, name: str | None, vectors: DataFrame | None, *, order: str, column: str = "embedding", precision: str = "float64") -> int | None:
@@ -58,11 +58,13 @@ def pin(spark: SparkSession, name: str | None, vectors: DataFrame | None, *, ord
     if bad["lo"] != bad["hi"]:
         raise ValueError(f"vectors of several lengths ({bad['lo']} to {bad['hi']})")
     unit = F.transform(v, lambda x: x.cast("double") / F.col("__norm"))
-    rows = positions(vectors, order).withColumn("__norm", norm(v)).select("idx", F.col(order), unit.alias("unit"))
+    numbered, placed = positions(vectors, order)
+    rows = numbered.withColumn("__norm", norm(v)).select("idx", F.col(order), unit.alias("unit"))
     if precision == "float16":
         rows = rows.mapInArrow(_halved, rows.schema)
     rows = rows.withColumn("unit", F.col("unit").cast(PRECISIONS[precision])).persist(StorageLevel.MEMORY_AND_DISK)
     rows.count()
+    placed.unpersist()
     old = _stores.pop((id(spark), name), None)
     if old is not None:
         old[0].unpersist()
