@@ -1,8 +1,8 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
 P(token | history) = P(class | history) * P(token | class, history).  Both factors are
-softmaxes over hashed features of the history: the last word, the last two, and
-the words two and three back (skips).  The most frequent words fill classes of
+softmaxes over hashed features of the history: the last word (n-gram), and the words
+two and three back (skips; the second softmax takes the nearer one).  The most frequent words fill classes of
 32 and are told apart by the second softmax; all other words fall into classes by
 their last letters, where the share of a word is its add-one count.
 
@@ -30,16 +30,16 @@ from pyspark.sql import functions as F
 from bramble.llm.common import Workspace, load, small_batches
 
 FREQUENT = 1 << 18  #: words at most whose counts are broadcast
-NAMED = 1 << 13  #: words that stand for themselves in a history; others do by their last letters
+NAMED = 1 << 11  #: words that stand for themselves in a history; others do by their last letters
 CLASS = 32  #: words in a class of frequent words
 CLASSES = 16  #: classes of frequent words, and as many of others
-ENDINGS = 4096
-BUCKETS = 1 << 15
+ENDINGS = 1024
+BUCKETS = 1 << 14  #: fits 16 bits
 BLOCK = 512
 LEARNER_TOKENS = 8_000_000
 BATCH = 8192
 END = b""  # no word is empty
-ROUNDS = ((0, 1), (3, 4), (5, 6))
+ROUNDS = ((0, 1, 3), (4, 5, 6))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,6 +47,55 @@ def words(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+class Powers:
+    """Powers of an odd number and of its inverse, mod 2**64, as far as needed."""
+
+    base = np.uint64(0xD6E8FEB86659FD93)
+    inverse = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            one = np.ones(1, np.uint64)
+            self.up = np.concatenate([one, np.cumprod(np.full(size - 1, self.base, np.uint64))])
+            self.down = np.concatenate([one, np.cumprod(np.full(size - 1, self.inverse, np.uint64))])
+        return self.up[:n], self.down[:n]
+
+
+RUN = 1 << 17
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+
+def tokens(texts: list[str | None], powers: Powers) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of several texts at once: the lower-cased bytes, starts, ends, 64-bit hashes, and the text of each word.
+
+    A word's hash is the difference of running sums, so no word is touched by itself.
+    """
+    parts = [(t or "").encode() for t in texts]
+    data = b" " + b" ".join(parts).lower() + b" "
+    raw = np.frombuffer(data, np.uint8)
+    space = SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    h = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # runs of words of bounded length, which stay in the processor's cache
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + RUN, "right")))
+        a, b = starts[i] - 1, ends[j - 1]
+        up, down = powers.get(int(b - a))
+        sums = np.cumsum((raw[a:b] + np.uint64(1)) * up)
+        h[i:j] = (sums[ends[i:j] - 1 - a] - sums[starts[i:j] - 1 - a]) * down[starts[i:j] - a]
+        i = j
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + (ends - starts).astype(np.uint64)
+    h ^= h >> np.uint64(29)
+    firsts = np.cumsum([1, *(len(p) + 1 for p in parts)])[:-1]
+    return data, starts, ends, h | np.uint64(1), np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(starts, [*firsts, len(raw)])))
+
+
 def ending(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "replace").rstrip(".,")[-3:].encode()) % ENDINGS
 
@@ -63,6 +112,7 @@ def counts(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         seen: Counter = Counter()
+        powers = Powers()
 
         def emit():
             items = list(seen.items())
@@ -72,20 +122,40 @@ def counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.int64())], ["word", "c"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(words(text.as_py()))
-            if len(seen) > 300_000:
-                yield from emit()
+            for texts in portions(batch.column(0)):
+                data, starts, ends, h, _ = tokens(texts, powers)
+                _, first, n = np.unique(h, return_index=True, return_counts=True)
+                for a, b, c in zip(starts[first].tolist(), ends[first].tolist(), n.tolist()):
+                    seen[data[a:b]] += c
+                seen[END] += len(texts)
+                if len(seen) > 500_000:
+                    yield from emit()
         yield from emit()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Lexicon(dict):
+def portions(texts, most: int = 1 << 19):
+    """Lists of texts of about ``most`` characters together; a longer text is a list of its own."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        n += len(held[-1] or "")
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+class Lexicon:
     """word -> position in tables of class, slot, history hash and count; words not listed fall to their ending's position."""
 
     def __init__(self, listed: list[tuple[str, int]], modelled: int):
-        super().__init__((w.encode(), i) for i, (w, _) in enumerate(listed))
+        self.powers = Powers()
+        data, starts, ends, h, which = tokens([w for w, _ in listed], self.powers)  # the end token alone has no word
+        self.keys, self.values = hash_table(h, which)
+        self.end = next((i for i, (w, _) in enumerate(listed) if not w), len(listed) + ending(END))
         n = len(listed)
         self.n = n
         place = np.arange(n + ENDINGS)
@@ -98,26 +168,72 @@ class Lexicon(dict):
         self.history = (history + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
         self.history ^= self.history >> np.uint64(32)
 
-    def __missing__(self, word: bytes) -> int:
-        return self.n + ending(word)
+    def positions(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+        """Positions of all tokens, which of them end a text, and (text, word) of those that aren't listed."""
+        data, starts, ends, h, which = tokens(texts, self.powers)
+        at = find(self.keys, self.values, h)
+        rest = []
+        for i in np.flatnonzero(at < 0).tolist():
+            word = data[starts[i] : ends[i]]
+            at[i] = self.n + ending(word)
+            rest.append((int(which[i]), word))
+        sizes = np.bincount(which, minlength=len(texts)) + 1
+        x = np.full(len(at) + len(texts), self.end)
+        last = np.zeros(len(x), bool)
+        last[np.cumsum(sizes) - 1] = True
+        x[~last] = at
+        return x, last, rest
+
+
+def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Open addressing: keys (odd) and values by slot; 0 marks a free slot."""
+    size = 1 << max(4, int(4 * len(keys)).bit_length())
+    slots, held = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+    mask = np.uint64(size - 1)
+    todo, at = np.arange(len(keys)), (keys >> np.uint64(1)) & mask
+    while len(todo):
+        _, first = np.unique(at, return_index=True)
+        mine = np.zeros(len(todo), bool)
+        mine[first] = True
+        mine &= slots[at] == 0
+        slots[at[mine]], held[at[mine]] = keys[todo[mine]], values[todo[mine]]
+        todo, at = todo[~mine], (at[~mine] + np.uint64(1)) & mask
+    return slots, held
+
+
+def find(slots: np.ndarray, held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Values of keys, -1 where unknown."""
+    mask = np.uint64(len(slots) - 1)
+    at = (keys >> np.uint64(1)) & mask
+    seen = slots[at]
+    out = np.where(seen == keys, held[at], -1)
+    todo = np.flatnonzero((seen != keys) & (seen != 0))
+    while len(todo):
+        at[todo] = (at[todo] + np.uint64(1)) & mask
+        seen = slots[at[todo]]
+        hit = seen == keys[todo]
+        out[todo[hit]] = held[at[todo[hit]]]
+        todo = todo[~hit & (seen != 0)]
+    return out
 
 
 def start(listed: list[tuple[str, int]], mass: list[int], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First weights (shares without a history) of both softmaxes, and what is added to bar classes and slots without words."""
     first, second = np.zeros((BUCKETS, 2 * CLASSES), np.float32), np.zeros((BUCKETS, CLASS), np.float32)
+    every = sum(mass) + sum(c for _, c in listed[: CLASSES * CLASS]) + 1
     barred, empty = np.zeros(2 * CLASSES, np.float32), np.full((CLASSES, CLASS), -1e9, np.float32)
     for i in range(min(len(listed), CLASSES * CLASS)):
         empty[i // CLASS, i % CLASS] = 0
-        second[i // CLASS, i % CLASS] = np.log(listed[i][1] + 1)
+        second[i // CLASS, i % CLASS] = np.log((listed[i][1] + 1) / every)
     for k in range(2 * CLASSES):
         total = mass[k - CLASSES] if k >= CLASSES else sum(c for _, c in listed[k * CLASS : (k + 1) * CLASS])
-        first[0, k] = np.log(total + 1)
+        first[0, k] = np.log((total + 1) / every)
         barred[k] = -1e9 if k < CLASSES and k * CLASS >= len(listed) else 0
     return first, second, barred, empty
 
 
 def histories(x: np.ndarray, ends: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """Four feature hashes for each token; ``ends`` marks the last token of each document."""
+    """Three feature hashes for each token; ``ends`` marks the last token of each document."""
     h = lexicon.history[x]
     since = _since(ends)
     back = []
@@ -128,7 +244,7 @@ def histories(x: np.ndarray, ends: np.ndarray, lexicon: Lexicon) -> np.ndarray:
         back.append(b)
     one, two, three = back
     mix = lambda a, salt: ((a ^ np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
-    return np.stack([mix(one, 11), mix(one * np.uint64(31) + two, 23), mix(two, 37), mix(three, 53)])
+    return np.stack([mix(one, 11), mix(two, 37), mix(three, 53)])
 
 
 def _since(ends: np.ndarray) -> np.ndarray:
@@ -140,7 +256,7 @@ def _since(ends: np.ndarray) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    """Shares; weights start at the logarithms of shares, so that no exponential overflows."""
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
@@ -156,7 +272,7 @@ def forward(x: np.ndarray, f: np.ndarray, model: tuple, lexicon: Lexicon):
         z += first[a]
     inner = np.flatnonzero(lexicon.modelled[x])
     k = lexicon.cls[x[inner]]
-    at2 = (CLASS + (f[:, inner] * np.uint64(33) + k.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(BUCKETS - CLASS)).astype(np.int64)
+    at2 = (CLASS + (f[:2, inner] * np.uint64(33) + k.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(BUCKETS - CLASS)).astype(np.int64)
     z2 = second[k] + empty[k]
     for a in at2:
         z2 += second[a]
@@ -165,14 +281,19 @@ def forward(x: np.ndarray, f: np.ndarray, model: tuple, lexicon: Lexicon):
 
 def scatter(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
     """AdaGrad on rows of weights, from summed gradients of one batch."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort at this width
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     total = np.add.reduceat(g[order], first, axis=0)
     at = rows[first]
-    s = square[at] + total * total
+    s = square[at]
+    s += total * total
     square[at] = s
-    weights[at] -= rate * total / np.sqrt(s + 1.0)
+    s += 1
+    np.sqrt(s, out=s)
+    total /= s
+    total *= rate
+    weights[at] -= total
 
 
 def learn(docs: DataFrame, model: tuple, listed: list, rate: float, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -187,15 +308,8 @@ def learn(docs: DataFrame, model: tuple, listed: list, rate: float, work: Worksp
         lexicon = Lexicon(listed, CLASSES * CLASS)
         own = [first.copy(), second.copy()]
         square = [np.zeros_like(first), np.zeros_like(second)]
-        held: list[np.ndarray] = []
-        n = 0
-
-        def step():
-            nonlocal n
-            x = np.concatenate(held)
-            ends = np.concatenate([np.arange(len(h)) == len(h) - 1 for h in held])
-            held.clear()
-            n = 0
+
+        def step(x, ends):
             every = histories(x, ends, lexicon)
             for i in range(0, len(x), BATCH):
                 part, f = x[i : i + BATCH], every[:, i : i + BATCH]
@@ -208,17 +322,12 @@ def learn(docs: DataFrame, model: tuple, listed: list, rate: float, work: Worksp
                 if len(inner):
                     for a in at2:
                         scatter(own[1], square[1], a, p2, rate)
-                    scatter(own[1], square[1], k, p2, rate)
+                    bias = np.eye(CLASSES, dtype=np.float32)[k].T @ p2
+                    scatter(own[1], square[1], np.arange(CLASSES), bias, rate)
 
         for batch in batches:
-            for text in batch.column(0):
-                w = words(text.as_py())
-                held.append(np.fromiter(map(lexicon.__getitem__, w), np.int64, len(w)))
-                n += len(w)
-                if n >= 8 * BATCH:
-                    step()
-        if held:
-            step()
+            for texts in portions(batch.column(0)):
+                step(*lexicon.positions(texts)[:2])
         rows: list[tuple] = []
         for which, (new, old) in enumerate(zip(own, (first, second))):
             change = (new - old).astype(np.float16).reshape(-1, BLOCK, new.shape[1])
@@ -295,7 +404,7 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
         shares = np.concatenate([np.zeros(CLASSES), shares])
         logs = np.log10(lexicon.count + 1.0)
         row = TaskContext.get().partitionId() << 40
-        kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+        kind = pa.list_(pa.string())
 
         def judged(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
             out = np.empty(len(x))
@@ -310,30 +419,27 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                xs, rest = [], []
-                for text in some.column(1):
-                    w = words(text.as_py())
-                    x = np.fromiter(map(lexicon.__getitem__, w), np.int64, len(w))
-                    rest.append([{"word": w[i].decode(), "n": 1} for i in np.flatnonzero(x >= lexicon.n)])
-                    xs.append(x)
-                sizes = np.array([len(x) for x in xs])
-                x = np.concatenate(xs)
-                ends = np.zeros(len(x), bool)
-                ends[np.cumsum(sizes) - 1] = True
+            done = 0
+            for texts in portions(batch.column(1)):
+                some = batch.slice(done, len(texts))
+                done += len(texts)
+                x, ends, missing = lexicon.positions(texts)
+                rest: list[list[bytes]] = [[] for _ in texts]
+                for i, w in missing:
+                    rest[i].append(w)
+                sizes = np.diff(np.concatenate([[-1], np.flatnonzero(ends)]))
                 first = np.cumsum(sizes) - sizes
                 known = np.add.reduceat((lexicon.count[x] > 0).astype(np.int64), first)
                 base = np.add.reduceat(logs[x] - room, first)
                 mine = np.add.reduceat(judged(x, ends), first)
-                rows = pa.array(range(row, row + len(xs)), pa.int64())
-                row += len(xs)
+                rows = pa.array(range(row, row + len(texts)), pa.int64())
+                row += len(texts)
                 yield pa.RecordBatch.from_arrays([rows, some.column(0), some.column(2), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(mine), pa.array(rest, kind)], ["row", "doc_id", "fold", "n_tokens", "n_known", "base", "score", "rest"])
 
-    schema = "row long, doc_id long, fold long, n_tokens long, n_known long, base double, score double, rest array<struct<word:string,n:long>>"
+    schema = "row long, doc_id long, fold long, n_tokens long, n_known long, base double, score double, rest array<string>"
     seen = work.table(own.select("doc_id", "text", F.col("fold").cast("long")).mapInArrow(run, schema), "scored")
     # counts of rarer words: every one adds the same to both scores
-    rare = seen.select("row", F.explode("rest").alias("r")).groupBy("row", F.col("r.word").alias("word")).agg(F.sum("r.n").alias("n"))
+    rare = seen.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
     few = lexical.filter(F.col("c") < least) if least is not None else lexical
     extra = rare.join(few, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("also"))
     more, also = F.coalesce("more", F.lit(0.0)), F.coalesce("also", F.lit(0).cast("long"))
