@@ -71,3 +71,16 @@ def test_shares_sum_to_one():
     # a history begins anew with each document
     again = maxent.histories(x[100:], ends[100:], lexicon)
     assert (f[:, 100:] == again).all()
+
+
+def test_last_two_words_and_all_skips_count_in_both_softmaxes():
+    listed = [("", 50), *((f"w{i}", 40) for i in range(600))]
+    lexicon = maxent.Lexicon(listed, maxent.CLASSES * maxent.CLASS)
+    model = maxent.start(listed, [3] * maxent.CLASSES, lexicon)
+    of = lambda x: maxent.histories(np.array(x), np.zeros(len(x), bool), lexicon)[:, 3]
+    one, other, third = of([5, 6, 7, 8]), of([5, 9, 7, 8]), of([4, 6, 7, 8])
+    assert (one != other).tolist() == [False, True, True, False]  # the last two words together, and the word two back
+    assert (one != third).tolist() == [False, False, False, True]
+    _, _, inner, _, at2, _ = maxent.forward(np.array([8]), one[:, None], model, lexicon)
+    assert len(inner) and len(at2) == 4
+    assert (maxent.NAMED, maxent.ENDINGS, maxent.BUCKETS) >= (8192, 4096, 32768) and len(maxent.ROUNDS) == 3
