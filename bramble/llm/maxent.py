@@ -3,14 +3,17 @@
 P(token | history) = P(class | history) * P(token | class, history).  Both factors are
 softmaxes over hashed features of the history: the last word, the last two, and
 the words two and three back (skips).  The most frequent words fill classes of
-32 and are told apart by the second softmax; all other words fall into classes by
+32 and are told apart by the second softmax, a word after one step.  Other words with ``LEARNT``
+occurrences are the leaves of trees of 32 branches a node, whose roots are further classes: the second
+softmax is taken at each node on the way.  All other words fall into classes by
 their last letters, where the share of a word is its add-one count.
 
 Counts cover all training documents.  Training runs over all of them once, in
 rounds: learners start a round from the same weights, update them on their own
 documents in batches (AdaGrad), and the changes are averaged by rows of
-weights through a shuffle.  Weights and the list of frequent words have fixed
-sizes, so both are broadcast; counts of rarer words are joined.
+weights through a shuffle.  Words in trees and named in histories grow with the words
+that are frequent enough, up to ``FREQUENT``; rows of weights grow with the root of the
+number of tokens.  Both are broadcast; counts of rarer words are joined.
 
 A null text counts as empty: one end token.  Documents are told apart by a row
 number, so repeated rows are scored, and counted, each.  A document
@@ -30,11 +33,12 @@ from pyspark.sql import functions as F
 from bramble.llm.common import Workspace, load, small_batches
 
 FREQUENT = 1 << 18  #: words at most whose counts are broadcast
-NAMED = 1 << 13  #: words that stand for themselves in a history; others do by their last letters
-CLASS = 32  #: words in a class of frequent words
-CLASSES = 16  #: classes of frequent words, and as many of others
+NAMED = 1 << 13  #: words at least that stand for themselves in a history; others do by their last letters
+CLASS = 32  #: words in a class of frequent words, and branches of a node
+CLASSES = 16  #: classes of frequent words, as many of others, and trees at most
+LEARNT = 512  #: occurrences from which a word is told from others by its history
 ENDINGS = 4096
-BUCKETS = 1 << 15  #: fits 16 bits
+BUCKETS = 1 << 15  #: rows of weights at least
 BLOCK = 512
 LEARNER_TOKENS = 8_000_000
 BATCH = 8192
@@ -100,6 +104,14 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "replace").rstrip(".,")[-3:].encode()) % ENDINGS
 
 
+def sizes_for(total: int, often: int) -> tuple[int, int, int]:
+    """Words told apart, words named in histories and rows of weights, for so many tokens and words of ``LEARNT`` occurrences."""
+    rows = BUCKETS
+    while rows < 4 * total**0.5:
+        rows *= 2
+    return max(CLASSES * CLASS, often), max(NAMED, often), rows
+
+
 def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(7)), F.lit(0))
 
@@ -151,7 +163,7 @@ def portions(texts, most: int = 1 << 19):
 class Lexicon:
     """word -> position in tables of class, slot, history hash and count; words not listed fall to their ending's position."""
 
-    def __init__(self, listed: list[tuple[str, int]], modelled: int):
+    def __init__(self, listed: list[tuple[str, int]], modelled: int, named: int = NAMED):
         self.powers = Powers()
         data, starts, ends, h, which = tokens([w for w, _ in listed], self.powers)  # the end token alone has no word
         self.keys, self.values = hash_table(h, which)
@@ -160,14 +172,41 @@ class Lexicon:
         self.n = n
         place = np.arange(n + ENDINGS)
         tail = np.array([ending(w.encode()) for w, _ in listed] + list(range(ENDINGS)), np.int64)
-        self.modelled = place < modelled
+        self.told = min(modelled, n)
+        self.modelled = place < self.told
         self.cls = np.where(self.modelled, place // CLASS, CLASSES + tail % CLASSES)
-        self.slot = np.where(self.modelled, place % CLASS, -1)
+        # (nodes, slots) on the way to each word, by depth; the first classes are the first nodes
+        head = place < min(CLASSES * CLASS, self.told)
+        self.way = [(np.where(head, place // CLASS, -1), place % CLASS)]
+        self.nodes, self.trees = CLASSES, 0
+        deep, q = self.told - CLASSES * CLASS, place - CLASSES * CLASS
+        if deep > 0:
+            depth = 1
+            while CLASSES * CLASS**depth < deep:
+                depth += 1
+            inside = self.modelled & (q >= 0)
+            self.trees = -(-deep // CLASS**depth)
+            self.cls = np.where(inside, 2 * CLASSES + q // CLASS**depth, self.cls)
+            for d in range(depth, 0, -1):
+                self.way.append((np.where(inside, self.nodes + q // CLASS**d, -1), q // CLASS ** (d - 1) % CLASS))
+                self.nodes += -(-deep // CLASS**d)
+        self.reserved = -(-self.nodes // BLOCK) * BLOCK if self.nodes > CLASS else CLASS
         self.count = np.array([c for _, c in listed] + [0] * ENDINGS, np.int64)
-        history = np.where(place < min(NAMED, n), place, NAMED + tail).astype(np.uint64)
+        history = np.where(place < min(named, n), place, named + tail).astype(np.uint64)
         self.history = (history + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
         self.history ^= self.history >> np.uint64(32)
 
+    def steps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which tokens take a step of the second softmax, at which nodes, and to which slots."""
+        inner, k, slot = [], [], []
+        for node, branch in self.way:
+            at = node[x]
+            i = np.flatnonzero(at >= 0)
+            inner.append(i)
+            k.append(at[i])
+            slot.append(branch[x[i]])
+        return np.concatenate(inner), np.concatenate(k), np.concatenate(slot)
+
     def positions(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
         """Positions of all tokens, which of them end a text, and (text, word) of those that aren't listed."""
         data, starts, ends, h, which = tokens(texts, self.powers)
@@ -217,16 +256,25 @@ def find(slots: np.ndarray, held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def start(listed: list[tuple[str, int]], mass: list[int], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def start(listed: list[tuple[str, int]], mass: list[int], lexicon: Lexicon, buckets: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First weights (shares without a history) of both softmaxes, and what is added to bar classes and slots without words."""
-    first, second = np.zeros((BUCKETS, 2 * CLASSES), np.float32), np.zeros((BUCKETS, CLASS), np.float32)
-    every = sum(mass) + sum(c for _, c in listed[: CLASSES * CLASS]) + 1
-    barred, empty = np.zeros(2 * CLASSES, np.float32), np.full((CLASSES, CLASS), -1e9, np.float32)
-    for i in range(min(len(listed), CLASSES * CLASS)):
-        empty[i // CLASS, i % CLASS] = 0
-        second[i // CLASS, i % CLASS] = np.log((listed[i][1] + 1) / every)
-    for k in range(2 * CLASSES):
-        total = mass[k - CLASSES] if k >= CLASSES else sum(c for _, c in listed[k * CLASS : (k + 1) * CLASS])
+    buckets = buckets or BUCKETS
+    wide, more = 2 * CLASSES + lexicon.trees, lexicon.reserved if lexicon.nodes > CLASS else 0
+    first, second = np.zeros((buckets, wide), np.float32), np.zeros((buckets + more, CLASS), np.float32)
+    told = np.array([c for _, c in listed[: lexicon.told]], np.float64)
+    every = sum(mass) + told.sum() + 1
+    barred, empty = np.zeros(wide, np.float32), np.full((lexicon.nodes, CLASS), -1e9, np.float32)
+    held = np.zeros((lexicon.nodes, CLASS))
+    places = np.arange(lexicon.told)
+    for node, slot in lexicon.way:
+        i = places[node[places] >= 0]
+        np.add.at(held, (node[i], slot[i]), told[i])
+        empty[node[i], slot[i]] = 0
+    used = empty == 0
+    second[: lexicon.nodes][used] = np.log((held[used] + 1) / every)
+    sums = np.bincount(lexicon.cls[places], told, wide)
+    for k in range(wide):
+        total = mass[k - CLASSES] if CLASSES <= k < 2 * CLASSES else sums[k]
         first[0, k] = np.log((total + 1) / every)
         barred[k] = -1e9 if k < CLASSES and k * CLASS >= len(listed) else 0
     return first, second, barred, empty
@@ -263,16 +311,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def forward(x: np.ndarray, f: np.ndarray, model: tuple, lexicon: Lexicon):
-    """Class shares of all tokens; features, slot shares and places of the modelled ones."""
+    """Class shares of all tokens; of each step within a class its token, node, features and slot shares."""
     first, second, barred, empty = model
-    at = (CLASS + f % np.uint64(BUCKETS - CLASS)).astype(np.int64)
+    at = (CLASS + f % np.uint64(len(first) - CLASS)).astype(np.int64)
     z = first[0] + barred
     z = z + first[at[0]]
     for a in at[1:]:
         z += first[a]
-    inner = np.flatnonzero(lexicon.modelled[x])
-    k = lexicon.cls[x[inner]]
-    at2 = (CLASS + (f[:, inner] * np.uint64(33) + k.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(BUCKETS - CLASS)).astype(np.int64)
+    inner, k, _ = lexicon.steps(x)
+    at2 = (lexicon.reserved + (f[:, inner] * np.uint64(33) + k.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(len(second) - lexicon.reserved)).astype(np.int64)
     z2 = second[k] + empty[k]
     for a in at2:
         z2 += second[a]
@@ -282,6 +329,8 @@ def forward(x: np.ndarray, f: np.ndarray, model: tuple, lexicon: Lexicon):
 def scatter(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
     """AdaGrad on rows of weights, from summed gradients of one batch."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort at this width
+    if len(weights) > 1 << 16:
+        order = order[np.argsort((rows >> 16).astype(np.uint16)[order], kind="stable")]
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     total = np.add.reduceat(g[order], first, axis=0)
@@ -296,16 +345,17 @@ def scatter(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, g: np.nda
     weights[at] -= total
 
 
-def learn(docs: DataFrame, model: tuple, listed: list, rate: float, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, model: tuple, listed: list, told: tuple[int, int], rate: float, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray]:
     """One round over ``docs`` (text): the weights of ``model`` after averaged changes."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model, listed))
+    modelled, named = told
 
     def run(batches):
         import pyarrow as pa
 
         (first, second, barred, empty), listed = shared.value
-        lexicon = Lexicon(listed, CLASSES * CLASS)
+        lexicon = Lexicon(listed, modelled, named)
         own = [first.copy(), second.copy()]
         square = [np.zeros_like(first), np.zeros_like(second)]
 
@@ -315,15 +365,18 @@ def learn(docs: DataFrame, model: tuple, listed: list, rate: float, work: Worksp
                 part, f = x[i : i + BATCH], every[:, i : i + BATCH]
                 at, p, inner, k, at2, p2 = forward(part, f, (*own, barred, empty), lexicon)
                 p[np.arange(len(part)), lexicon.cls[part]] -= 1
-                p2[np.arange(len(inner)), lexicon.slot[part[inner]]] -= 1
+                p2[np.arange(len(inner)), lexicon.steps(part)[2]] -= 1
                 for a in at:
                     scatter(own[0], square[0], a, p, rate)
                 scatter(own[0], square[0], np.zeros(1, np.int64), p.sum(axis=0, keepdims=True), rate)
                 if len(inner):
                     for a in at2:
                         scatter(own[1], square[1], a, p2, rate)
-                    bias = np.eye(CLASSES, dtype=np.float32)[k].T @ p2
+                    head = int((k < CLASSES).sum())  # steps are listed by depth
+                    bias = np.eye(CLASSES, dtype=np.float32)[k[:head]].T @ p2[:head]
                     scatter(own[1], square[1], np.arange(CLASSES), bias, rate)
+                    if head < len(k):
+                        scatter(own[1], square[1], k[head:], p2[head:], rate)
 
         for batch in batches:
             for texts in portions(batch.column(0)):
@@ -332,7 +385,7 @@ def learn(docs: DataFrame, model: tuple, listed: list, rate: float, work: Worksp
         for which, (new, old) in enumerate(zip(own, (first, second))):
             change = (new - old).astype(np.float16).reshape(-1, BLOCK, new.shape[1])
             moved = (square[which].reshape(-1, BLOCK, new.shape[1]) > 0).any(axis=2)
-            rows += [(which * 1000 + b, change[b][moved[b]].tobytes(), np.flatnonzero(moved[b]).astype("<u2").tobytes()) for b in np.flatnonzero(moved.any(axis=1))]
+            rows += [(which << 20 | b, change[b][moved[b]].tobytes(), np.flatnonzero(moved[b]).astype("<u2").tobytes()) for b in np.flatnonzero(moved.any(axis=1))]
         for i in range(0, len(rows), 16):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 16]), (pa.int32(), pa.binary(), pa.binary()))], ["block", "change", "rows"])
 
@@ -350,11 +403,11 @@ def learn(docs: DataFrame, model: tuple, listed: list, rate: float, work: Worksp
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([(t / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes() for t, n in held.values()], pa.binary())], ["block", "change"])
 
-    parts = 2 * BUCKETS // BLOCK
-    moved = docs.mapInArrow(run, "block int, change binary, rows binary").repartition(min(parts, 16), "block").mapInArrow(average, "block int, change binary")
+    parts = (len(model[0]) + len(model[1])) // BLOCK
+    moved = docs.mapInArrow(run, "block int, change binary, rows binary").repartition(max(min(parts, 16), parts // 32), "block").mapInArrow(average, "block int, change binary")
     out = [model[0].copy(), model[1].copy()]
     for block, change in work.table(moved, name).collect():  # as many rows as the model has blocks
-        which, b = divmod(block, 1000)
+        which, b = block >> 20, block & (1 << 20) - 1
         width = out[which].shape[1]
         out[which][b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(change, np.float32).reshape(-1, width)
     work.drop(name)
@@ -383,15 +436,16 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
     tail = F.pmod(F.pmod(F.crc32(F.expr("right(rtrim('.,', word), 3)")), F.lit(ENDINGS)), F.lit(CLASSES))
     sums = {r["k"]: (r["n"], r["v"]) for r in lexical.groupBy(tail.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     mass, kinds = [sums.get(k, (0, 0))[0] for k in range(CLASSES)], [sums.get(k, (0, 0))[1] for k in range(CLASSES)]
-    for w, c in listed[: CLASSES * CLASS]:
+    modelled, named, buckets = sizes_for(total, sum(c >= LEARNT for _, c in listed))
+    for w, c in listed[:modelled]:
         k = ending(w.encode()) % CLASSES
         mass[k] -= c
         kinds[k] -= 1
-    model = start(listed, mass, Lexicon(listed, CLASSES * CLASS))
+    model = start(listed, mass, Lexicon(listed, modelled, named), buckets)
     learners = max(1, -(-total // LEARNER_TOKENS))
     for i, folds in enumerate(ROUNDS):
         shard = own.filter(F.col("fold").isin(*folds)).select("text").coalesce(int(learners))
-        model = (*learn(shard, model, listed, rate / (i + 1), work, f"round-{i}"), *model[2:])
+        model = (*learn(shard, model, listed, (modelled, named), rate / (i + 1), work, f"round-{i}"), *model[2:])
     shared = spark.sparkContext.broadcast((model, listed, np.log10(np.array(mass, float) + np.array(kinds) + 1)))
     room = float(np.log10(total + distinct + 1))
 
@@ -400,8 +454,8 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
         from pyspark import TaskContext
 
         model, listed, shares = shared.value
-        lexicon = Lexicon(listed, CLASSES * CLASS)
-        shares = np.concatenate([np.zeros(CLASSES), shares])
+        lexicon = Lexicon(listed, modelled, named)
+        shares = np.concatenate([np.zeros(CLASSES), shares, np.zeros(lexicon.trees)])
         logs = np.log10(lexicon.count + 1.0)
         row = TaskContext.get().partitionId() << 40
         kind = pa.list_(pa.string())
@@ -414,7 +468,7 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
                 _, p, inner, _, _, p2 = forward(part, every[:, i : i + BATCH], model, lexicon)
                 k = lexicon.cls[part]
                 s = np.log10(np.maximum(p[np.arange(len(part)), k], 1e-30)) - shares[k] + np.where(lexicon.modelled[part], 0, logs[part])
-                s[inner] += np.log10(np.maximum(p2[np.arange(len(inner)), lexicon.slot[part[inner]]], 1e-30))
+                s += np.bincount(inner, np.log10(np.maximum(p2[np.arange(len(inner)), lexicon.steps(part)[2]], 1e-30)), len(part))
                 out[i : i + BATCH] = s
             return out
 

@@ -84,3 +84,37 @@ def test_last_two_words_and_all_skips_count_in_both_softmaxes():
     _, _, inner, _, at2, _ = maxent.forward(np.array([8]), one[:, None], model, lexicon)
     assert len(inner) and len(at2) == 4
     assert (maxent.NAMED, maxent.ENDINGS, maxent.BUCKETS) >= (8192, 4096, 32768) and len(maxent.ROUNDS) == 3
+
+
+def test_what_is_learnt_grows_with_the_input():
+    assert maxent.sizes_for(10_000, 0) == (512, maxent.NAMED, maxent.BUCKETS)
+    told, named, rows = maxent.sizes_for(5_000_000_000, 200_000)
+    assert told == named == 200_000 and rows > 4 * maxent.BUCKETS
+    listed = [("", 5000), *((f"w{i}", 4000 - i // 2) for i in range(2999))]
+    for modelled in (512, 700, 2500, 3000):
+        lexicon = maxent.Lexicon(listed, modelled, 2 * maxent.NAMED)
+        model = maxent.start(listed, [30] * maxent.CLASSES, lexicon, 1 << 17)
+        x = np.arange(len(listed) + 50)
+        f = maxent.histories(x, np.zeros(len(x), bool), lexicon)
+        _, p, inner, k, _, p2 = maxent.forward(x, f, model, lexicon)
+        assert (np.bincount(inner, minlength=len(x)) > 0).sum() == modelled
+        # words have ways of their own, and shares of all sum to one
+        s = p[np.arange(len(x)), lexicon.cls[x]].astype(float)
+        way = [[] for _ in x]
+        for i, a, b, c in zip(inner, k, lexicon.steps(x)[2], p2):
+            s[i] *= c[b]
+            way[i].append((a, b))
+        assert len(set(map(tuple, way[:modelled]))) == modelled
+        assert abs(s[:modelled].sum() + p[0, maxent.CLASSES : 2 * maxent.CLASSES].sum() - 1) < 1e-3
+        assert np.allclose(s[:modelled], [(c + 1) / (sum(c for _, c in listed[:modelled]) + 30 * maxent.CLASSES) for _, c in listed[:modelled]], rtol=0.2)
+
+
+def test_history_tells_rarer_words_apart(spark, docs_folder, monkeypatch):
+    monkeypatch.setattr(maxent, "LEARNT", 8)
+    filler = [f"f{i}" for i in range(600) for _ in range(2)]
+    pairs = [f"left{i} right{i}" for i in range(40)]
+    texts = [" ".join(filler) for _ in range(40)] + [" ".join(pairs) for _ in range(60)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = maxent.op9_maxent(spark, docs_folder(rows)).collect()
+    seen = [r for r in got if r["n_tokens"] == 81]
+    assert len(seen) == 60 and sum(r["score"] for r in seen) > sum(r["base_score"] for r in seen) + 60
