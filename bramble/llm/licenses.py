@@ -5,7 +5,9 @@ increasing run of such anchors is kept, and the gaps between anchors are aligned
 in the same way.  Coverage is the share of the template's words that are
 aligned.  An alignment is sought wherever a stretch of at most twice the
 template's length holds enough of its words; a text that lacks them altogether
-is passed over by a word-set test.
+is passed over by a word-set test.  Where such stretches overlap they are aligned
+together; if that finds less than the whole, for a copy nearby leaves no word that occurs once,
+stretches within them are aligned each by itself.
 
 Null and empty texts give no row; a repeated row gives its rows again; other
 columns are ignored.  If several templates reach the threshold all are returned.
@@ -108,11 +110,11 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def places(text: list[str], template: list[str], need: float) -> list[tuple[int, int]]:
-    """Stretches of the text, at most twice as long as the template, that hold enough of its words; overlapping ones are joined."""
+def windows(text: list[str], template: list[str], need: float) -> list[tuple[int, int]]:
+    """Stretches of the text, at most twice as long as the template, that hold enough of its words: the longest to each end."""
     counts, width = Counter(template), 2 * len(template)
     at = [i for i, w in enumerate(text) if w in counts]
-    merged: list[list[int]] = []
+    out: list[tuple[int, int]] = []
     held: Counter = Counter()
     have = left = 0
     for i in at:
@@ -124,11 +126,76 @@ def places(text: list[str], template: list[str], need: float) -> list[tuple[int,
             have -= held[w] < counts[w]
             left += 1
         if have >= need:
-            if merged and at[left] < merged[-1][1]:
-                merged[-1][1] = i + 1
-            else:
-                merged.append([at[left], i + 1])
-    return [(a, b) for a, b in merged]
+            out.append((at[left], i + 1))
+    return out
+
+
+def joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping ones, in order of their starts and ends, as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in stretches:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def places(text: list[str], template: list[str], need: float) -> list[tuple[int, int]]:
+    """Stretches of the text, at most twice as long as the template, that hold enough of its words; overlapping ones are joined."""
+    return joined(windows(text, template, need))
+
+
+def shortest(text: list[str], template: list[str], need: float, first: int, end: int) -> list[tuple[int, int]]:
+    """The shortest stretches of text[first:end] that hold enough of the template's words: none lies in another, or holds a second copy."""
+    counts, width = Counter(template), 2 * len(template)
+    at = [i for i in range(first, end) if text[i] in counts]
+    out: list[tuple[int, int]] = []
+    held: Counter = Counter()
+    have = left = 0
+    for i in at:
+        have += held[text[i]] < counts[text[i]]
+        held[text[i]] += 1
+        while have >= need:
+            w = text[at[left]]
+            less = have - (held[w] <= counts[w])
+            if less < need:
+                if i + 1 - at[left] <= width:
+                    if out and out[-1][0] == at[left]:
+                        break
+                    out.append((at[left], i + 1))
+                break
+            held[w] -= 1
+            have = less
+            left += 1
+    return out
+
+
+def closest(text: list[str], template: list[str], need: float) -> list[tuple[int, int]]:
+    """The alignment that covers most of the template, the first of equals."""
+    best: list[tuple[int, int]] = []
+
+    def tried(a: int, b: int) -> None:
+        nonlocal best
+        if len(got := align(text[a:b], template)) > len(best):
+            best = [(i + a, j) for i, j in got]
+
+    m = len(template)
+    for a, b in places(text, template, need):
+        tried(a, b)
+        if len(best) == m:
+            return best
+        if b - a <= m:
+            continue
+        # copies close together leave no anchors in what was joined
+        for c, d in shortest(text, template, need, a, b):
+            for e in sorted({d, min(b, max(d, c + m)), min(b, c + 2 * m)}):
+                tried(c, e)
+            for e in sorted({max(a, min(c, d - m)), max(a, d - 2 * m)} - {c}):
+                tried(e, d)
+            if len(best) == m:
+                return best
+    return best
 
 
 def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -150,12 +217,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold:
                     need = threshold * len(template)
                     if sum(n for w, n in counts.items() if w in distinct) < need:
                         continue
-                    best: list[tuple[int, int]] = []
-                    for a, b in places(have, template, need):
-                        if len(got := align(have[a:b], template)) > len(best):
-                            best = [(i + a, j) for i, j in got]
-                        if len(best) == len(template):
-                            break
+                    best = closest(have, template, need)
                     if best and len(best) >= need:
                         rows.append((name, k, len(best) / len(template), len(best), len(template), best[0][0], best[-1][0]))
             yield pa.RecordBatch.from_pylist([dict(zip(titles, r)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("matched_words", pa.int64()), ("template_words", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))

@@ -41,6 +41,25 @@ def test_finds_whole_and_damaged_licenses(spark):
     assert got[1]["coverage"] == 1 and got[1]["first_word"] == 9000 and got[2]["coverage"] > 0.85
 
 
+def test_copies_close_together_are_found(spark):
+    random.seed(2)
+    notice, mit = licenses.TEMPLATES["Apache-2.0-notice"], licenses.TEMPLATES["MIT"].split()
+    damaged = [w for i, w in enumerate(mit) if i % 11]
+    longer = [x for i, w in enumerate(mit) for x in ([w, "inserted"] if i % 4 == 0 else [w])]
+    rows = [(n, f"Read the notes first. {' '.join([notice] * n)} See the file for more.") for n in range(1, 6)]
+    for k, copy in ((10, mit), (20, damaged), (30, longer)):
+        for n in (2, 3):
+            between = [random.choice(["the", "of", "software", "x", "y"]) for _ in range(10)]
+            rows.append((k + n, " ".join(["see", "the", "note", *((copy + between) * n), "of", "the", "file"])))
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in range(1, 6):
+        r = got[n, "Apache-2.0-notice"]
+        assert r["coverage"] == 1 and (r["first_word"], r["last_word"]) == (4, 10)
+    for n in (2, 3):
+        assert got[10 + n, "MIT"]["coverage"] == 1 and got[10 + n, "MIT"]["first_word"] == 3
+        assert got[20 + n, "MIT"]["coverage"] > 0.85 and got[30 + n, "MIT"]["coverage"] > 0.95
+
+
 def test_awkward_texts(spark, docs_folder):
     notice = licenses.TEMPLATES["MIT-notice"]
     rows = [*awkward(), (20, notice, "en", "s", 0), (20, notice, "en", "s", 0), (None, notice.upper(), None, None, None)]
