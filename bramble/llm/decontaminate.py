@@ -1,7 +1,7 @@
 """Benchmark decontamination by embedded edit distance.
 
 An item leaks into a text if some stretch of the text is within ``ratio`` of
-the item's words of it, counted in word edits.  Four steps find these stretches:
+the item's words of it, counted in word edits.  Five steps find these stretches:
 
 1. a stretch within k edits of an item keeps all but 2k of its word pairs, so
    windows with fewer pairs known from items of their size are left out;
@@ -9,7 +9,9 @@ the item's words of it, counted in word edits.  Four steps find these stretches:
    windows and the items, turning edits into Hamming distance;
 3. repeated bit samples of the embeddings are looked up in the items' hash tables;
    repetitions follow from a target recall at a Hamming distance;
-4. candidates are verified by exact (bit-parallel) edit distance.
+4. edited passages, longer ones above all, may be further apart than that: so places where
+   enough of one item's own pairs are close together are candidates, too, and nothing is missed;
+5. candidates are verified by exact (bit-parallel) edit distance.
 
 Words are lower-cased and cut at ASCII punctuation.  The benchmark is taken in blocks of
 bounded size, each sent to all tasks; texts are never shuffled.
@@ -126,6 +128,9 @@ class Items:
         self.pairs, first = np.unique(pairs, return_index=True)
         bits = np.uint64(1) << np.array([b for _, b in sized], np.uint64)
         self.bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
+        # the items of each pair, by size and pair
+        own = sorted({(self.sizes.index(len(t)), a * self.base + b, i) for i, t in enumerate(self.texts) for a, b in zip(t, t[1:])})
+        self.sized = [np.array([x[1:] for x in own if x[0] == c], np.int64).reshape(-1, 2) for c in range(len(self.sizes))]
         if listed:
             longest = self.sizes[-1]
             self.embedding = Embedding(longest, times)
@@ -136,6 +141,26 @@ class Items:
             order = np.argsort(keys, kind="stable")
             self.keys, self.owner = keys[order], np.tile(np.arange(len(listed)), times)[order]
 
+    def dense(self, c: int, q: np.ndarray, pair: np.ndarray, have: np.ndarray, width: int, enough: int):
+        """(item, place) from which ``enough`` of the pairs of an item of the c-th size follow within ``width``.
+
+        q, pair: places and pairs known from items of that size; have: how many follow each place."""
+        edge = np.zeros(len(q) + 1, np.int64)
+        begin = np.flatnonzero(have >= enough)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + have[begin], -1)
+        inside = np.cumsum(edge[:-1]) > 0
+        q, pair = q[inside], pair[inside]
+        held, owner = self.sized[c].T
+        low, high = np.searchsorted(held, pair, "left"), np.searchsorted(held, pair, "right")
+        n = high - low
+        item = owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        at = np.repeat(q, n)
+        room = int(q[-1]) + width + 1 if len(q) else 1
+        key = np.sort(item * room + at)
+        many = np.searchsorted(key, key + width) - np.arange(len(key)) >= enough
+        return zip((key[many] // room).tolist(), (key[many] % room).tolist())
+
     def find(self, texts: list[list[bytes]], ratio: float):
         """(text, item, distance, first, end) of every leak in ``texts``."""
         longest = self.sizes[-1]
@@ -154,22 +179,25 @@ class Items:
         pair = x[both] * self.base + x[both + 1]
         near = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         known = self.pairs[near] == pair
-        place, bits = both[known], self.bits[near[known]]
+        place, bits, pair = both[known], self.bits[near[known]], pair[known]
+        hits: set[tuple[int, int]] = set()
         starts, sizes = [], []
         for c, m in enumerate(self.sizes):
             k = int(ratio * m)
-            q = place[(bits >> np.uint64(c % 64) & np.uint64(1)).astype(bool)]
+            mine = (bits >> np.uint64(c % 64) & np.uint64(1)).astype(bool)
+            q = place[mine]
             have = np.searchsorted(q, q + (m + k - 1)) - np.arange(len(q))
             # a leak's first known pair is followed by all its others; up to k of its words may precede it
-            p = q[have >= max(1, m - 1 - 2 * k)]
+            enough = max(1, m - 1 - 2 * k)
+            p = q[have >= enough]
             if len(p):
+                hits.update(self.dense(c, q, pair[mine], have, m + k - 1, enough))
                 p = np.unique(np.maximum(p[:, None] - np.arange(k + 1)[None, :], 0))
                 starts.append(p)
                 sizes.append(np.full(len(p), m))
         if not starts:
             return
         p, m = np.concatenate(starts), np.concatenate(sizes)
-        hits: set[tuple[int, int]] = set()
         padded = np.concatenate([x, np.zeros(longest, np.int64)])
         for i in range(0, len(p), 16384):
             a, b = p[i : i + 16384], m[i : i + 16384]

@@ -70,6 +70,28 @@ def test_edited_leaks_are_found(spark, monkeypatch):
     assert {x["doc_id"] for x in d.filtered(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in again}
 
 
+def test_long_items_are_found_at_the_full_ratio():
+    r = random.Random(7)
+    vocabulary = [b"w%d" % i for i in range(5000)]
+    for m in (8, 15, 59, 100, 200):
+        items = [r.choices(vocabulary, k=m) for _ in range(20)]
+        texts, want = [], set()
+        for k, item in enumerate(items * 3):
+            leak = list(item)
+            # as edits go that no longer count as known pairs: spread over the item, or all at its start
+            n = int(0.15 * m)
+            spots = range(1, 2 * n, 2) if k % 3 == 0 else r.sample(range(m), n)
+            for at in sorted(spots, reverse=True):
+                leak[at : at + r.randrange(2)] = [b"other"] if k % 2 else r.choices(vocabulary, k=r.randrange(2))
+            body = r.choices(vocabulary, k=r.randrange(0, 100))
+            at = r.randrange(len(body) + 1)
+            texts.append(body[:at] + leak + body[at:])
+        known = d.Items([(k, b" ".join(x).decode()) for k, x in enumerate(items)], 0.15, 8, d.repetitions(0.99, 0.25))
+        for i, text in enumerate(texts):
+            want |= {(i, k) for k, item in enumerate(items) if k == i % 20 and d.search(text, item)[0] <= int(0.15 * m)}
+        assert {x[:2] for x in known.find(texts, 0.15)} == want and len(want) > 50
+
+
 def test_awkward_texts(spark, docs_folder):
     item = "one two three four five six seven eight nine ten"
     rows = [*awkward(), (50, "so " + item, "en", "s", 1), (50, "so " + item, "en", "s", 1), (None, item, None, None, None)]
