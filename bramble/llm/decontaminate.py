@@ -16,8 +16,8 @@ the item's words of it, counted in word edits.  Five steps find these stretches:
 Words are lower-cased and cut at ASCII punctuation.  The benchmark is taken in blocks of
 bounded size, each sent to all tasks; texts are never shuffled.
 
-Null and empty texts or items give nothing, nor do items of fewer than ``least`` words,
-which ordinary prose repeats.  Equal items are each reported, repeated rows report
+Items of fewer than ``least`` words leak where a text has all their words in sequence, without edits;
+they are looked up as they are.  Null and empty texts or items, or items without a word, give nothing.  Equal items are each reported, repeated rows report
 again, other columns are ignored.
 """
 
@@ -112,35 +112,64 @@ class Items:
     """What a task needs to know of a block of items."""
 
     def __init__(self, rows: list[tuple[int, str]], ratio: float, least: int, times: int):
-        listed = [(i, w) for i, t in rows if len(w := words(t)) >= least]
-        self.ids = [i for i, _ in listed]
+        every = [(i, w) for i, t in rows if (w := words(t))]
+        listed, short = [x for x in every if len(x[1]) >= least], [x for x in every if len(x[1]) < least]
+        self.ids = [i for i, _ in listed + short]
         self.number: dict[bytes, int] = {}
-        for _, w in listed:
+        for _, w in listed + short:
             for x in w:
                 self.number.setdefault(x, len(self.number) + 1)
-        self.texts = [[self.number[x] for x in w] for _, w in listed]
+        self.texts = [[self.number[x] for x in w] for _, w in listed + short]
         self.edits = [int(ratio * len(x)) for x in self.texts]
-        self.sizes = sorted({len(x) for x in self.texts})
+        self.sizes = sorted({len(w) for _, w in listed})
         self.base = len(self.number) + 1
+        # items that are looked up as they are, by size and hash
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, (_, w) in enumerate(short, len(listed)):
+            t = np.array([self.number[x] for x in w], np.int64)
+            self.short.setdefault(len(w), {}).setdefault(int(self.hashed(t, len(t))[0]), []).append(i)
+        self.codes = {m: np.array(sorted(held), np.uint64) for m, held in self.short.items()}
+        self.long = [[self.number[x] for x in w] for _, w in listed]
         # known pairs, and for each a bit for each size (mod 64) of item that has it
-        sized = sorted({(a * self.base + b, self.sizes.index(len(x)) % 64) for x in self.texts for a, b in zip(x, x[1:])})
+        sized = sorted({(a * self.base + b, self.sizes.index(len(x)) % 64) for x in self.long for a, b in zip(x, x[1:])})
         pairs = np.array([p for p, _ in sized], np.int64)
         self.pairs, first = np.unique(pairs, return_index=True)
         bits = np.uint64(1) << np.array([b for _, b in sized], np.uint64)
         self.bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
         # the items of each pair, by size and pair
-        own = sorted({(self.sizes.index(len(t)), a * self.base + b, i) for i, t in enumerate(self.texts) for a, b in zip(t, t[1:])})
+        own = sorted({(self.sizes.index(len(t)), a * self.base + b, i) for i, t in enumerate(self.long) for a, b in zip(t, t[1:])})
         self.sized = [np.array([x[1:] for x in own if x[0] == c], np.int64).reshape(-1, 2) for c in range(len(self.sizes))]
         if listed:
             longest = self.sizes[-1]
             self.embedding = Embedding(longest, times)
             x = np.zeros((len(listed), longest), np.int64)
-            for i, t in enumerate(self.texts):
+            for i, t in enumerate(self.long):
                 x[i, : len(t)] = t
-            keys = self.embedding.keys(x, np.array([len(t) for t in self.texts])).ravel()
+            keys = self.embedding.keys(x, np.array([len(t) for t in self.long])).ravel()
             order = np.argsort(keys, kind="stable")
             self.keys, self.owner = keys[order], np.tile(np.arange(len(listed)), times)[order]
 
+    @staticmethod
+    def hashed(x: np.ndarray, m: int) -> np.ndarray:
+        """Hashes of all stretches of m words."""
+        n = len(x) - m + 1
+        h = np.zeros(n, np.uint64)
+        for j in range(m):
+            h = (h ^ x[j : j + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def whole(self, x: np.ndarray):
+        """(item, place) of the short items in ``x``, in order of places."""
+        for m, held in self.short.items():
+            if len(x) < m:
+                continue
+            h, codes = self.hashed(x, m), self.codes[m]
+            for i in np.flatnonzero(codes[np.minimum(np.searchsorted(codes, h), len(codes) - 1)] == h).tolist():
+                for item in held[int(h[i])]:
+                    if self.texts[item] == x[i : i + m].tolist():
+                        yield item, i
+
     def dense(self, c: int, q: np.ndarray, pair: np.ndarray, have: np.ndarray, width: int, enough: int):
         """(item, place) from which ``enough`` of the pairs of an item of the c-th size follow within ``width``.
 
@@ -163,7 +192,7 @@ class Items:
 
     def find(self, texts: list[list[bytes]], ratio: float):
         """(text, item, distance, first, end) of every leak in ``texts``."""
-        longest = self.sizes[-1]
+        longest = self.sizes[-1] if self.sizes else max(self.short, default=0)
         gap = longest + int(ratio * longest) + 1
         # all texts in one row, with gaps that no window bridges with a known pair
         at, parts = [], []
@@ -175,6 +204,19 @@ class Items:
             parts.append(x)
             n += len(x)
         x = np.concatenate(parts)
+        first = np.array(at)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for item, s in self.whole(x):
+            doc = int(np.searchsorted(first, s, "right")) - 1
+            best.setdefault((doc, item), (0, s - at[doc], s - at[doc] + len(self.texts[item])))
+        if self.sizes:
+            self.edited(x, at, [len(t) for t in texts], ratio, best)
+        for (doc, item), got in sorted(best.items()):
+            yield (doc, item, *got)
+
+    def edited(self, x: np.ndarray, at: list[int], lengths: list[int], ratio: float, best: dict) -> None:
+        """Adds what is found of the long items to ``best``; texts of these lengths begin in ``x`` at these places."""
+        longest = self.sizes[-1]
         both = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
         pair = x[both] * self.base + x[both + 1]
         near = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
@@ -213,19 +255,16 @@ class Items:
         for item, s in sorted(hits):
             size, k = len(self.texts[item]), self.edits[item]
             doc = int(np.searchsorted(first, s, "right")) - 1
-            a, b = max(at[doc], s - 2 * k), min(at[doc] + len(texts[doc]), s + size + 2 * k)
+            a, b = max(at[doc], s - 2 * k), min(at[doc] + lengths[doc], s + size + 2 * k)
             if spans and spans[-1][:2] == [item, doc] and a <= spans[-1][3]:
                 spans[-1][3] = max(b, spans[-1][3])
             else:
                 spans.append([item, doc, a, b])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for item, doc, a, b in spans:
             d, s, e = matched(x[a:b].tolist(), self.texts[item])
             if d <= self.edits[item]:
                 got = (d, s + a - at[doc], e + a - at[doc])
                 best[doc, item] = min(got, best.get((doc, item), got))
-        for (doc, item), got in sorted(best.items()):
-            yield (doc, item, *got)
 
 
 def blocks_of(benchmark: DataFrame, size: int = BLOCK):

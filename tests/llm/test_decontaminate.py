@@ -92,6 +92,19 @@ def test_long_items_are_found_at_the_full_ratio():
         assert {x[:2] for x in known.find(texts, 0.15)} == want and len(want) > 50
 
 
+def test_short_items_are_found_as_they_are(spark):
+    short = [(1, "What is NaCl?"), (2, "forty-two"), (3, "one two three four five six seven"), (4, "What is NaCl?"), (5, "?!")]
+    long = [(9, "one two three four five six seven eight nine ten")]
+    rows = [(1, "so: what is NaCl"), (2, "what is the NaCl"), (3, "forty"), (4, "it is Forty two, one two three four five six seven"), (5, None), (6, "one two three four five six eight"), (7, "what is"), (8, "nacl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, 1, 0, 1, 3), (1, 4, 0, 1, 3), (4, 2, 0, 2, 3), (4, 3, 0, 4, 10)}
+    for items in (short, short + long):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = [(r["doc_id"], r["item_id"], r["distance"], r["first_word"], r["last_word"]) for r in d.leaks(docs, bench).collect()]
+        assert sorted(got) == sorted(want)
+        assert {r["doc_id"] for r in d.filtered(docs, bench).collect()} == {2, 3, 5, 6, 7, 8}
+
+
 def test_awkward_texts(spark, docs_folder):
     item = "one two three four five six seven eight nine ten"
     rows = [*awkward(), (50, "so " + item, "en", "s", 1), (50, "so " + item, "en", "s", 1), (None, item, None, None, None)]
