@@ -67,13 +67,15 @@ def tokens(url: Column) -> Column:
     return F.when(url.contains("://"), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, *, support: float = 0.005, confidence: float = 0.8, longest: int = 3) -> DataFrame:
-    """(tokens, verdict, confidence, support) of rules from (url, verdict); at most ``longest`` tokens each."""
+def mine(labelled: DataFrame, *, support: float = 0.005, confidence: float = 0.8, longest: int | None = None) -> DataFrame:
+    """(tokens, verdict, confidence, support) of rules from (url, verdict), of any length or at most ``longest`` tokens each."""
     known = labelled.filter("verdict is not null and url is not null")
     baskets = known.select(F.array_append(tokens(F.col("url")), F.concat(F.lit(LABEL), "verdict")).alias("items")).filter("size(items) > 1")
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets).associationRules
-    rules = sets.filter(F.element_at("consequent", 1).startswith(LABEL) & (F.size("antecedent") <= longest) & (F.col("confidence") >= confidence))
+    rules = sets.filter(F.element_at("consequent", 1).startswith(LABEL) & (F.col("confidence") >= confidence))
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 1 << 20).alias("verdict"), "confidence", "support")
+    if longest is not None:
+        rules = rules.filter(F.size("tokens") <= longest)
     return rules.filter(~F.exists("tokens", lambda t: t.startswith(LABEL)))
 
 

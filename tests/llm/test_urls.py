@@ -94,3 +94,16 @@ def test_verdicts_against_all_rules(spark, labelled):
 def test_empty_tables(spark, folder):
     f = folder(pages=([], PAGES), labels=([], LABELS))
     assert urls.op10_url_filter(spark, f).count() == 0
+
+
+def test_a_label_that_takes_four_tokens_is_learnt(spark):
+    rows = []
+    for i in range(160):
+        a, b, c, d = (i >> k & 1 for k in range(4))
+        rows.append((f"{'http' if a else 'https'}://{'shop' if b else 'blog'}.{'one' if c else 'two'}.org/{'win' if d else 'read'}", "block" if a and b and c and d else "allow"))
+    frame = spark.createDataFrame(rows, "url string, verdict string")
+    rules = urls.mine(frame).localCheckpoint()
+    block = [r for r in rules.collect() if r["verdict"] == "block"]
+    assert block and all(len(r["tokens"]) >= 4 for r in block)
+    got = {(r["url"], r["verdict"]) for r in urls.judge(frame.select("url"), rules, {}).collect()}
+    assert got == set(rows)
