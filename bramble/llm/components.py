@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is two keyed joins and a partial aggregate over edges; a hub's edges
-are never gathered in one task.  Each round's edges are a written table, so that
+Every step is two keyed joins and a partial aggregate over edges.  Each side of a join that may
+hold a hub's edges meets one row a vertex, so that adaptive execution can split it among tasks.
+Each round's edges are a written table, so that
 lineage stays short and an executor's loss costs one round at most.
 """
 

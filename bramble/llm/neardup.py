@@ -17,10 +17,11 @@ So each pair that shares a bucket is decided or already connected, without all p
 a bucket being made.  The hashes for bands and for comparison are independent.
 
 Null and empty texts, and texts without words, have empty sets: linked with
-nothing, their component is their own id.  Repeated rows have equal sets.  A
+nothing, their component is their own id.  Repeated rows have equal sets; rows with one
+id and different texts are documents of their own.  A
 null doc_id takes part in links but is never a component's id; without any
 other id the component is null, and ``kept`` is false.
-Other columns are ignored.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm.common import Workspace, load, small_batches
+from bramble.llm.common import Workspace, fresh, load, small_batches
 from bramble.llm.components import stars
 
 BANDS, ROWS = 32, 5
@@ -40,6 +41,8 @@ BANDS, ROWS = 32, 5
 COMPARED, BATCH = 512, 32
 #: Classes on a side of a tile, as an expectation.
 TILE = 2048
+#: Words whose hashes a task holds.
+KNOWN = 1 << 16
 SEED = 20240229
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,7 +53,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) >= KNOWN:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -112,7 +115,7 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(row, doc_id, n, digest, bands, signature) of each document; the last three are null for empty sets."""
+    """(row, doc_id, text_hash, n, digest, bands, signature) of each document; the last three are null for empty sets."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -123,7 +126,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
         a, b = functions(BANDS * ROWS + COMPARED)
         for batch in batches:
             out = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingles(text.as_py(), k, known)
                 if len(s):
                     low = signature(s, a, b)
@@ -133,23 +136,28 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
             rows = pa.array(range(row, row + len(out)), pa.int64())
             row += len(out)
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), *columns], ["row", "doc_id", "n", "digest", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(1), *columns], ["row", "doc_id", "text_hash", "n", "digest", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n long, digest binary, bands binary, signature binary")
+    return hashed(docs).mapInArrow(run, "row long, doc_id long, text_hash long, n long, digest binary, bands binary, signature binary")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): id and hash tell rows apart that share an id, or have none."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
 def buckets(sets: DataFrame) -> DataFrame:
-    """(key, id, n): a row for each band of each class."""
+    """(key, id): a row for each band of each class."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                key = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["key", "id", "n"])
+                key = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
 
-    return sets.select("id", "n", "bands").mapInArrow(run, "key long, id long, n long")
+    return sets.select("id", "bands").mapInArrow(run, "key long, id long")
 
 
 def pruned(pairs: DataFrame, sets: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -178,7 +186,7 @@ def alike(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, ste
 
 
 def tiles(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, x, y, side, id, n, label, home, bands, signature) of buckets ``members`` (key, id, n, label) that hold several labels.
+    """(key, x, y, side, id, n, label, home, bands, signature) of buckets ``members`` (key, id, label) that hold several labels.
 
     Side 0 are the classes outside the bucket's commonest label, side 1 are all; tile (x, y) has
     a share of each.  Both are dealt to as many tiles as the other side has shares.
@@ -190,8 +198,8 @@ def tiles(members: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = F.pmod("draw", F.col("h")).cast("int"), F.pmod("draw", F.col("g")).cast("int")
     away = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda v: F.struct(x.alias("x"), v.alias("y"), F.lit(0).alias("side")))
     every = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda v: F.struct(v.alias("x"), y.alias("y"), F.lit(1).alias("side")))
-    dealt = own.select("key", "id", "n", "label", "home", F.explode(F.when(F.col("label") != F.col("home"), F.concat(away, every)).otherwise(every)).alias("t")).select("key", "t.*", "id", "n", "label", "home")
-    return dealt.join(sets.select("id", "bands", "signature"), "id")
+    dealt = own.select("key", "id", "label", "home", F.explode(F.when(F.col("label") != F.col("home"), F.concat(away, every)).otherwise(every)).alias("t")).select("key", "t.*", "id", "label", "home")
+    return dealt.join(sets.select("id", "n", "bands", "signature"), "id")
 
 
 def met(dealt: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -240,9 +248,9 @@ def met(dealt: DataFrame, percent: int, miss: float) -> DataFrame:
 
 
 def full_sets(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(id, hashes) of the classes ``needed`` (id, doc_id, digest), from their documents' texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = texts.join(needed, texts["doc_id"].eqNullSafe(needed["doc_id"])).select("id", "digest", "text")
+    """(id, hashes) of the classes ``needed`` (id, doc_id, text_hash, digest), from their documents' texts."""
+    texts = hashed(docs)
+    met = texts.join(needed, texts["doc_id"].eqNullSafe(needed["doc_id"]) & (texts["text_hash"] == needed["text_hash"])).select("id", "digest", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -252,7 +260,7 @@ def full_sets(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             ids, sets = [], []
             for i, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = shingles(text.as_py(), k, known)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # not another row of that id
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # not another text of that hash
                     ids.append(i)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "hashes"])
@@ -279,14 +287,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+def components(docs: DataFrame, *, shingle_words: int, percent: int, miss: float) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, label, component_id) of every row of ``docs`` (doc_id, text); a label names a component, and is null for empty sets."""
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")
     rows = work.table(classes(docs, shingle_words), "rows")
     # One row a class.  The least row stands for it; min is a partial aggregate, so copies of one text don't meet in a task.
     named = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"))
-    sets = work.table(named.join(rows.select(F.col("row").alias("id"), "n", "bands", "signature", F.col("doc_id").alias("own")), "id"), "sets")
+    sets = work.table(named.join(rows.select(F.col("row").alias("id"), "n", "bands", "signature", F.col("doc_id").alias("own"), "text_hash"), "id"), "sets")
     every = buckets(sets)
     pivots = every.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     members = work.table(every.join(pivots, "key"), "members")
@@ -294,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     def decide(alive: DataFrame, name: str) -> DataFrame:
         alive = work.table(alive, f"alive-{name}")
         ids = alive.select(F.col("a").alias("id")).union(alive.select(F.col("b").alias("id"))).distinct()
-        needed = sets.join(ids, "id").select("id", F.col("own").alias("doc_id"), "digest")
+        needed = sets.join(ids, "id").select("id", F.col("own").alias("doc_id"), "text_hash", "digest")
         full = work.table(full_sets(needed, docs, shingle_words), f"full-{name}")
         links = work.table(verified(alive, full, percent), f"verified-{name}")
         work.drop(f"alive-{name}")
@@ -303,24 +311,36 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
 
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = stars(decide(pruned(pairs, sets, percent / 100, miss), "pivots"), work, "links-pivots")
-    labelled = members.select("key", "id", "n").join(links.select(F.col("hi").alias("id"), "lo"), "id", "left").select("key", "id", "n", F.coalesce("lo", "id").alias("label"))
+    labelled = members.select("key", "id").join(links.select(F.col("hi").alias("id"), "lo"), "id", "left").select("key", "id", F.coalesce("lo", "id").alias("label"))
     more = decide(met(tiles(labelled, sets), percent, miss), "tiles")
     work.drop("members")
     links = stars(more.union(links.select(F.col("hi").alias("a"), F.col("lo").alias("b"))), work, "links")
     labelled = sets.join(links.select(F.col("hi").alias("id"), "lo"), "id", "left").select("digest", "doc", F.coalesce("lo", "id").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = labelled.join(least, "label").select("digest", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    least = labelled.groupBy("label").agg(F.min("doc").alias("least"))
+    named = labelled.join(least, "label").select("digest", "label", "least")
+    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "label", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    found = components(docs, shingle_words=shingle_words, percent=percent, miss=miss)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
-    """``docs`` with one document of each component, and all columns; a row without doc_id stays, as nothing names it."""
-    kept = near_duplicates(docs, shingle_words=shingle_words, percent=percent, miss=miss).filter("kept").select("doc_id").distinct()
-    named = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    one = named.join(kept.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").dropDuplicates(["__id", "text"]).select(*docs.columns)
-    return one.union(named.filter(F.col("__id").isNull()).select(*docs.columns))
+    """One row of ``docs`` for each component, with all columns; a row without doc_id stays, as nothing names it.
+
+    It is the row of the least id; of several with that id, the one of the least text hash.  Rows without words
+    are one for each id and text.
+    """
+    found = components(docs, shingle_words=shingle_words, percent=percent, miss=miss).filter("doc_id = component_id")
+    some = found.filter("n_shingles > 0").groupBy("label", "doc_id").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
+    kept = some.union(found.filter("n_shingles = 0").select("doc_id", "text_hash")).distinct()
+    i, h, a, b = fresh(docs, "id", "text_hash", "kept_id", "kept_hash")
+    named = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    one = named.join(kept.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b)), (F.col(i) == F.col(a)) & (F.col(h) == F.col(b)), "left_semi")
+    return one.dropDuplicates([i, h]).select(*docs.columns).union(named.filter(F.col(i).isNull()).select(*docs.columns))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,29 @@ def test_one_of_each_group_stays_with_its_columns(spark, docs_folder):
     assert got.filter("doc_id is null").count() == 1
 
 
+def test_one_id_with_several_texts(spark):
+    """Rows that share an id are documents of their own: a near copy of another document goes, whatever its id keeps."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, base), (5, base + " more"), (5, other), (5, other + " tail"), (9, other), (5, ""), (5, None), (None, base), (None, other), (2, "x y z")]
+    frame = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, text_hash string, ID string")
+    got = neardup.deduplicated(frame)
+    assert got.columns == frame.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"] is not None), key=repr)
+    assert [k for k in kept if k[0] != 5] == [(2, "x y z"), (3, base)]
+    fives = [t for i, t in kept if i == 5]
+    assert sorted(t or "" for t in fives if not t) == ["", ""] and len([t for t in fives if t]) == 1 and next(t for t in fives if t).startswith(other)
+    want = components(rows, 5)
+    assert sorted(map(tuple, neardup.near_duplicates(frame).collect()), key=repr) == want
+
+
+def test_rows_without_ids(spark):
+    """Null ids meet by their texts, not each with every other."""
+    rows = [(None, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(0, 400, 2)] + [(7, " ".join(f"w{j}" for j in range(1, 41)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.near_duplicates(frame).collect()), key=repr) == components(rows, 5)
+
+
 def test_empty_table(spark, docs_folder):
     assert neardup.op8_near_duplicates(spark, docs_folder([])).count() == 0
 
