@@ -17,7 +17,6 @@ def ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -53,8 +52,7 @@ def test_ids_and_pieces(spark, small, ids):
 
 
 def test_awkward_texts(spark, docs_folder, ids):
-    rows = awkward()
-    rows[9] = (8, "x" * 20_000 + " <|endoftext|> ", None, "s", 1)
+    rows = [*awkward(), (20, "a <|endoftext|> b<|endoftext|>", None, "s", 1), (21, "x" * 5000 + "<|endoftext|>" + " " * 3000 + "1" * 2000, None, "s", 1), (22, "<|endoftext|", None, "s", 1)]
     check(packing.op5_packing(spark, docs_folder(rows)).collect(), [r[:2] for r in rows], ids)
 
 
@@ -83,7 +81,54 @@ def test_balanced(lengths):
 
 def test_small_buffers_and_ids(spark):
     rows = spark.createDataFrame([(i, "some words here " * i) for i in range(40)], "doc_id long, text string").coalesce(1)
-    got = packing.pack(rows, packing.default_ranks(), buffer_tokens=500, with_ids=True).collect()
+    got = packing.pack(rows, *packing.default_files(), buffer_tokens=500, with_ids=True).collect()
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
     with pytest.raises(ValueError):
-        packing.pack(rows, "", capacity=1000)
+        packing.pack(rows, "", "", capacity=1000)
+
+
+def plainly(lengths, capacity, linear, quadratic):
+    """The rule by looking at every sequence for every piece."""
+    out, sequence, tails = [], 0, []
+    for d, n in enumerate(lengths):
+        for k in range(n // capacity):
+            out.append((d, k * capacity, capacity, sequence, 0))
+            sequence += 1
+        if n % capacity:
+            tails.append((n % capacity, d, n - n % capacity))
+    left = packing.room(sum(t[0] for t in tails), capacity)
+    sizes, cost = list(left), [0.0] * len(left)
+    while tails:
+        n, d, start = tails.pop(tails.index(min(tails, key=lambda t: (-t[0], t[1:]))))
+        s = min((s for s in range(len(left)) if left[s] >= n), key=lambda s: (cost[s], s), default=None)
+        if s is None:
+            s = min((s for s in range(len(left)) if left[s]), key=lambda s: (cost[s], s))
+        take = min(n, left[s])
+        out.append((d, start, take, sequence + s, sizes[s] - left[s]))
+        left[s] -= take
+        cost[s] += linear * take + quadratic * take * take
+        if take < n:
+            tails.append((n - take, d, start + take))
+    return out
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(1, 150), max_size=80), st.sampled_from([(1.0, 1 / 64), (0.0, 1.0), (1.0, 0.0)]))
+def test_least_cost_among_all(lengths, weights):
+    assert packing.balance(lengths, 64, *weights) == plainly(lengths, 64, *weights)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sx1<|")), max_size=60))
+def test_ids_are_the_tokenizers(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if not _both:
+        _both.extend((packing.encoder(*packing.default_files()), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))))
+    fast, named = _both
+    for t in (text, f"{text}<|endoftext|>{text}", text * 40):
+        assert fast(t) == named.encode(t, add_special_tokens=False).ids
+
+
+_both: list = []
