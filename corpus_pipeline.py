@@ -29,8 +29,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, packed into sequences of at most 1024 tokens: a row a piece."""
-    return packing.pack(docs, packing.default_ranks())
+    """All documents, packed into sequences of at most 1024 tokens: a row a piece, with its ids."""
+    return packing.pack(docs, *packing.default_files(), with_ids=True)
 
 
 STAGES = [
