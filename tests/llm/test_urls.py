@@ -1,4 +1,5 @@
-from itertools import combinations
+import random
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,25 +62,59 @@ def labelled(spark):
     return spark.createDataFrame(rows, "url string, verdict string")
 
 
+def counted(baskets, support, confidence, longest):
+    """All rules of up to ``longest`` tokens by counting, but those no surer than one on all their tokens but one."""
+    least, found = max(urls.FLOOR, support * len(baskets)), {}
+    every = sorted({x for b, _ in baskets for x in b})
+    for n in range(1, longest + 1):
+        for some in combinations(every, n):
+            have = [v for b, v in baskets if b.issuperset(some)]
+            for v in ("allow", "block"):
+                if have.count(v) >= least and have.count(v) >= confidence * len(have):
+                    found[frozenset(some), v] = (round(have.count(v) / len(have), 9), round(have.count(v) / len(baskets), 9))
+    return {(some, v): x for (some, v), x in found.items() if all(x[0] > found[some - {t}, v][0] for t in some if (some - {t}, v) in found)}
+
+
+def written_out(rules):
+    """Rules token by token: a part stands for any of its tokens."""
+    return {(frozenset(some), r["verdict"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in rules for some in product(*r["tokens"])}
+
+
 def test_rules_against_counting(spark, labelled):
-    support, confidence = 0.05, 0.8
-    baskets = [(set(r["t"]), r["verdict"]) for r in labelled.select(urls.tokens(F.col("url")).alias("t"), "verdict").collect()]
-    want = {}
-    for t in {x for b, _ in baskets for x in b}:
-        for n in (1, 2):
-            for other in combinations(sorted({x for b, _ in baskets for x in b} - {t}), n - 1):
-                some = frozenset((t, *other))
-                have = [v for b, v in baskets if some <= b]
-                for v in ("allow", "block"):
-                    if have and have.count(v) >= support * len(baskets) and have.count(v) >= confidence * len(have):
-                        want[some, v] = round(have.count(v) / len(have), 9)
-    got = urls.mine(labelled, support=support, confidence=confidence, longest=2).collect()
-    assert {(frozenset(r["tokens"]), r["verdict"]): round(r["confidence"], 9) for r in got} == want
+    support, confidence = 0.02, 0.7
+    baskets = [(frozenset(r["t"]), r["verdict"]) for r in labelled.select(urls.tokens(F.col("url")).alias("t"), "verdict").collect()]
+    got = written_out(urls.mine(labelled, support=support, confidence=confidence).collect())
+    want = counted(baskets, support, confidence, 3)
+    assert want and {k: v for k, v in got.items() if len(k[0]) <= 3} == want
+
+
+def test_random_rules_against_counting(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(240):
+        words = [w for i, w in enumerate("abcdefgh") if r.random() < (0.15, 0.5, 0.8)[i % 3]]
+        bad = "a" in words and "b" in words or r.random() < 0.15
+        rows.append((f"http://{r.choice(('x', 'y'))}.org/{'/'.join(words)}", "block" if bad else "allow"))
+    frame = spark.createDataFrame(rows, "url string, verdict string")
+    baskets = [(frozenset(r["t"]), r["verdict"]) for r in frame.select(urls.tokens(F.col("url")).alias("t"), "verdict").collect()]
+    got = written_out(urls.mine(frame, support=0.03, confidence=0.75).collect())
+    want = counted(baskets, 0.03, 0.75, 3)
+    assert len(want) > 5 and {k: v for k, v in got.items() if len(k[0]) <= 3} == want
+
+
+def test_long_addresses_and_templates_end(spark):
+    """One address of 40 words, and a template of 30 on many rows, some of whose words occur elsewhere."""
+    rows = [(f"https://site{i % 5}.org/a/{'news' if i % 2 else 'shop'}", "allow") for i in range(100)]
+    rows += [("https://site1.org/" + "/".join(f"w{'abcdefghij'[i % 10]}{'klmn'[i // 10]}" for i in range(40)), "block")]
+    words = "/".join(f"t{'abcdefghij'[i % 10]}{'klm'[i // 10]}" for i in range(30))
+    rows += [(f"https://site2.org/{words}", "block" if i % 4 else "allow") for i in range(24)] + [("https://site3.org/tak/tbk", "allow")] * 3
+    rules = urls.mine(spark.createDataFrame(rows, "url string, verdict string"), confidence=0.7).collect()
+    assert len(rules) < 200 and any(r["verdict"] == "block" and any(len(p) > 20 for p in r["tokens"]) for r in rules)
 
 
 def test_verdicts_against_all_rules(spark, labelled):
     rules = Workspace(spark, "test").table(urls.mine(labelled, support=0.02), "rules")
-    kept = [(set(r["tokens"]), r["verdict"], r["confidence"], r["support"], len(r["tokens"])) for r in urls.pruned(rules).collect()]
+    kept = [(some, v, *x, len(some)) for (some, v), x in written_out(rules.collect()).items()]
     new = Workspace(spark, "new").table(spark.createDataFrame([(1, "https://m.other.example.com/casino/9"), (2, "https://x.example.com/news/1"), (3, "ftp://elsewhere.example.org/plain"), (4, None)], "id long, url string"), "urls")
     told = {r["id"]: set(r["t"]) for r in new.select("id", urls.tokens(F.col("url")).alias("t")).collect()}
     out = urls.judge(new, rules, {})
@@ -91,6 +126,15 @@ def test_verdicts_against_all_rules(spark, labelled):
     assert not any(x in text for x in ("Python", "Arrow", "Pandas", "ExistingRDD]"))
 
 
+def test_ties_long_addresses_and_clashing_columns(spark):
+    tie = [("http://a.org/left/right", "allow"), ("http://a.org/left/right", "block"), ("http://b.org/left", "allow"), ("http://b.org/right", "block")] * 4
+    rules = Workspace(spark, "test").table(urls.mine(spark.createDataFrame(tie, "url string, verdict string"), confidence=0.5), "rules")
+    rows = spark.createDataFrame([(1, "http://c.org/left/right", "h", "v", "x"), (2, "http://c.org/" + "y/" * 100_000 + "left", None, None, None)], "id long, url string, Host string, verdict string, url_tokens string")
+    got = {r["id"]: r for r in urls.judge(rows, rules, {}).collect()}
+    assert list(got[1].asDict()) == ["id", "url", "url_tokens", "host", "path", "rule", "verdict", "confidence"]
+    assert got[1]["host"] == "c.org" and got[1]["url_tokens"] == "x" and got[1]["verdict"] == "block" and len(got[2]["path"]) == 200_005
+
+
 def test_empty_tables(spark, folder):
     f = folder(pages=([], PAGES), labels=([], LABELS))
     assert urls.op10_url_filter(spark, f).count() == 0
@@ -102,7 +146,7 @@ def test_a_label_that_takes_four_tokens_is_learnt(spark):
         a, b, c, d = (i >> k & 1 for k in range(4))
         rows.append((f"{'http' if a else 'https'}://{'shop' if b else 'blog'}.{'one' if c else 'two'}.org/{'win' if d else 'read'}", "block" if a and b and c and d else "allow"))
     frame = spark.createDataFrame(rows, "url string, verdict string")
-    rules = urls.mine(frame).localCheckpoint()
+    rules = Workspace(spark, "test").table(urls.mine(frame), "rules")
     block = [r for r in rules.collect() if r["verdict"] == "block"]
     assert block and all(len(r["tokens"]) >= 4 for r in block)
     got = {(r["url"], r["verdict"]) for r in urls.judge(frame.select("url"), rules, {}).collect()}
