@@ -102,7 +102,11 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 class _Items(HTMLParser):
-    """Texts between media, and media with the alternative text or the caption of their figure."""
+    """Texts between media, and media with the alternative text or the caption of their figure.
+
+    A caption counts for all media of its figure, before and after it, and for those of figures within that have none of
+    their own; without any media it is a text in its place.
+    """
 
     BLOCKS = frozenset("p div article section h1 h2 h3 h4 h5 h6 li ul ol table tr td th br figure blockquote pre".split())
     SKIP = frozenset(("script", "style", "template"))
@@ -112,14 +116,37 @@ class _Items(HTMLParser):
         self.items: list[dict] = []
         self.held: list[str] = []
         self.skipped = 0
-        self.figure: list[int] | None = None
+        self.figures: list[dict] = []
         self.caption: list[str] | None = None
 
+    def add(self, kind: str, text: str | None = None, ref: str | None = None, caption: str | None = None, figure: dict | None = None) -> dict:
+        self.items.append({"kind": kind, "text": text, "ref": ref, "caption": caption, "figure": figure})
+        return self.items[-1]
+
     def flush(self):
         text = " ".join("".join(self.held).split())
         self.held = []
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.add("text", text)
+
+    def captioned(self):
+        if self.caption is not None:
+            said, self.caption = " ".join("".join(self.caption).split()), None
+            if said:
+                figure = self.figures[-1] if self.figures else None
+                self.add("text", said, figure=figure)
+                if figure is not None:
+                    figure["said"].append(said)
+
+    def closed(self):
+        """The end of the innermost figure."""
+        self.captioned()
+        figure = self.figures.pop()
+        for item in figure["media"]:
+            if figure["said"]:
+                item["caption"] = " ".join(figure["said"])
+        if not figure["said"] and self.figures:
+            self.figures[-1]["media"] += figure["media"]
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
@@ -127,44 +154,48 @@ class _Items(HTMLParser):
         if tag in self.BLOCKS:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.figures.append({"media": [], "said": []})
         elif tag == "figcaption":
+            self.captioned()
             self.flush()
             self.caption = []
         elif tag in ("img", "video", "audio", "source"):
             at = dict(attrs)
             if at.get("src"):
                 self.flush()
-                if self.figure is not None:
-                    self.figure.append(len(self.items))
-                self.items.append({"position": len(self.items), "kind": "media", "text": None, "ref": at["src"], "caption": at.get("alt")})
+                item = self.add("media", ref=at["src"], caption=at.get("alt"))
+                if self.figures:
+                    self.figures[-1]["media"].append(item)
 
     def handle_endtag(self, tag):
         if tag in self.SKIP and self.skipped:
             self.skipped -= 1
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for i in self.figure or ():
-                self.items[i]["caption"] = said
-            if not self.figure and said:
-                self.items.append({"position": len(self.items), "kind": "text", "text": said, "ref": None, "caption": None})
-            self.caption = None
+        if tag == "figcaption":
+            self.captioned()
         elif tag in self.BLOCKS:
             self.flush()
-            if tag == "figure":
-                self.figure = None
+            if tag == "figure" and self.figures:
+                self.closed()
 
     def handle_data(self, data):
         if not self.skipped:
             (self.held if self.caption is None else self.caption).append(data)
 
+    def finished(self) -> list[dict]:
+        self.close()
+        self.captioned()
+        self.flush()
+        while self.figures:
+            self.closed()
+        kept = [i for i in self.items if not (i["figure"] and i["figure"]["media"])]
+        return [{"position": n, **{k: i[k] for k in ("kind", "text", "ref", "caption")}} for n, i in enumerate(kept)]
+
 
 def items(html: str | None) -> list[dict]:
+    """The sequence of a page; null and empty pages have none."""
     parser = _Items()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.items
+    return parser.finished()
 
 
 def parse(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -182,7 +213,7 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Features of (digest, media), one row a digest, from the stored bytes."""
+    """Features of (digest, media), a row each, from the stored bytes."""
     small_batches(media.sparkSession)
 
     def run(batches):
@@ -196,19 +227,21 @@ def features(media: DataFrame) -> DataFrame:
                 rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload)))
             yield pa.RecordBatch.from_pylist([dict(zip([x.split()[0] for x in FEATURES.split(", ")], r)) for r in rows], schema=pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
 
-    return media.select("digest", "media").mapInArrow(run, FEATURES).distinct()
+    return media.select("digest", "media").mapInArrow(run, FEATURES)
 
 
 def resolve(parsed: DataFrame, media: DataFrame) -> DataFrame:
     """(row, items) with each media item's columns of ``media`` (digest, ...) in the struct ``media``, null where unknown.
 
-    A digest has one row in ``media``; the join carries references and what the caller kept of ``media``.
+    Rows of ``media`` for one digest are equal, and repeated ones count once; the join carries references and what the caller
+    kept of ``media``.  A page without items has an empty list.
     """
-    flat = parsed.select("row", F.explode("items").alias("item"))
+    flat = parsed.select("row", F.explode_outer("items").alias("item"))
     flat = flat.withColumn("digest", F.regexp_extract("item.ref", f"^{SCHEME}([0-9a-f]{{64}})$", 1))
-    told = media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("media"))
+    told = media.distinct().select("digest", F.struct(*[F.col(f"`{c}`") for c in media.columns if c != "digest"]).alias("media"))
     joined = flat.join(told, "digest", "left")
-    return joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("item.position").alias("position"), "item", "media"))).alias("items"))
+    lists = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("item.position").alias("position"), "item", "media"))).alias("items"))
+    return lists.select("row", F.filter("items", lambda i: i["position"].isNotNull()).alias("items"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
