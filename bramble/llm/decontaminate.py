@@ -14,26 +14,32 @@ the item's words of it, counted in word edits.  Five steps find these stretches:
 5. candidates are verified by exact (bit-parallel) edit distance.
 
 Words are lower-cased and cut at ASCII punctuation.  The benchmark is taken in blocks of
-bounded size, each sent to all tasks; texts are never shuffled.
+bounded number and size of items, each sent to all tasks; texts are never shuffled.  With several blocks each is
+finished and written before the next is sent.
 
 Items of fewer than ``least`` words leak where a text has all their words in sequence, without edits;
-they are looked up as they are.  Null and empty texts or items, or items without a word, give nothing.  Equal items are each reported, repeated rows report
-again, other columns are ignored.
+they are looked up as they are.  Null and empty texts or items, or items without a word, give nothing.  Equal items are each reported, but a repeated row of
+the benchmark counts once; repeated documents report again; other columns are ignored, whatever their names.
+A very long item is searched as any other: what is held of windows is bounded by their number times their size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm.common import load, small_batches
+from bramble.llm.common import Workspace, load, small_batches
 
 SCHEMA = "doc_id long, item_id long, distance long, item_words long, first_word long, last_word long"
-#: Items sent to the tasks at once.
-BLOCK = 4096
+#: Items sent to the tasks at once, and their characters together; a longer item is a block of its own.
+BLOCK, CHARACTERS = 4096, 4 << 20
+#: Numbers held at once of the walks over windows.
+HELD = 1 << 22
 WALKS, SAMPLE = 4, 6
 SEED = 4711
 CUT = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
@@ -53,34 +59,49 @@ class Embedding:
 
     def __init__(self, longest: int, times: int):
         r = np.random.Generator(np.random.PCG64(SEED))
-        self.steps = 3 * longest
+        self.steps = 2 * longest  # as far as samples reach
         self.bits = r.integers(0, 1 << 63, (WALKS, self.steps), np.int64).astype(np.uint64) | np.uint64(1)
         self.at = r.random((times, SAMPLE))
         self.mix = r.integers(0, 1 << 63, (times, SAMPLE), np.int64).astype(np.uint64) | np.uint64(1)
 
     def keys(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(times, rows): sampled keys of strings ``x`` (rows x longest, zeros behind ``sizes``)."""
-        n, width = x.shape
+        n, longest = x.shape
         ends = np.hstack([x, np.zeros((n, 1), x.dtype)]).astype(np.uint64)
         row, i = np.arange(n), np.zeros((WALKS, n), np.int64)
-        out = np.empty((WALKS, self.steps, n), np.uint64)
-        for j in range(self.steps):
+        # the walk is at half speed: samples are from the steps before it is expected to end
+        walk = np.empty((WALKS, 2 * longest, n), np.uint64)
+        for j in range(2 * longest):
             s = ends[row, i]
-            out[:, j] = s
+            walk[:, j] = s
             step = ((s + np.uint64(1)) * self.bits[:, j, None]) >> np.uint64(41) & np.uint64(1)
             i = np.minimum(i + step.astype(np.int64), sizes)
-        # the walk is at half speed: samples are from the steps before it is expected to end
         place = (self.at[:, :, None] * (2 * sizes)).astype(np.int64)
         keys = np.empty((len(self.at), n), np.uint64)
         for t in range(len(self.at)):
             key = sizes.astype(np.uint64) * np.uint64(1000003) + np.uint64(t)
             for c in range(SAMPLE):
-                key = (key ^ out[t % WALKS, place[t, c], row]) * self.mix[t, c]
+                key = (key ^ walk[t % WALKS, place[t, c], row]) * self.mix[t, c]
                 key ^= key >> np.uint64(29)
             keys[t] = key
         return keys
 
 
+def portions(sizes: np.ndarray):
+    """(first, end) of runs of ascending sizes whose walks together are at most ``HELD`` numbers, or one."""
+    i = 0
+    while i < len(sizes):
+        low, high = i + 1, len(sizes)
+        while low < high:  # the longest run
+            j = (low + high + 1) // 2
+            if (j - i) * 2 * WALKS * int(sizes[j - 1]) <= HELD:
+                low = j
+            else:
+                high = j - 1
+        yield i, low
+        i = low
+
+
 def search(text: list[int], item: list[int]) -> tuple[int, int]:
     """Least edit distance of ``item`` to any stretch of ``text``, and the end of the first such stretch (Myers)."""
     m, every = len(item), (1 << len(item)) - 1
@@ -140,14 +161,19 @@ class Items:
         own = sorted({(self.sizes.index(len(t)), a * self.base + b, i) for i, t in enumerate(self.long) for a, b in zip(t, t[1:])})
         self.sized = [np.array([x[1:] for x in own if x[0] == c], np.int64).reshape(-1, 2) for c in range(len(self.sizes))]
         if listed:
-            longest = self.sizes[-1]
-            self.embedding = Embedding(longest, times)
-            x = np.zeros((len(listed), longest), np.int64)
-            for i, t in enumerate(self.long):
-                x[i, : len(t)] = t
-            keys = self.embedding.keys(x, np.array([len(t) for t in self.long])).ravel()
+            self.embedding = Embedding(self.sizes[-1], times)
+            by_size = np.array(sorted(range(len(listed)), key=lambda i: len(self.long[i])))
+            sizes = np.array([len(self.long[i]) for i in by_size])
+            keys, owner = [], []
+            for i, j in portions(sizes):
+                x = np.zeros((j - i, sizes[j - 1]), np.int64)
+                for r, item in enumerate(by_size[i:j]):
+                    x[r, : sizes[i + r]] = self.long[item]
+                keys.append(self.embedding.keys(x, sizes[i:j]).ravel())
+                owner.append(np.tile(by_size[i:j], times))
+            keys, owner = np.concatenate(keys), np.concatenate(owner)
             order = np.argsort(keys, kind="stable")
-            self.keys, self.owner = keys[order], np.tile(np.arange(len(listed)), times)[order]
+            self.keys, self.owner = keys[order], owner[order]
 
     @staticmethod
     def hashed(x: np.ndarray, m: int) -> np.ndarray:
@@ -190,10 +216,14 @@ class Items:
         many = np.searchsorted(key, key + width) - np.arange(len(key)) >= enough
         return zip((key[many] // room).tolist(), (key[many] % room).tolist())
 
+    def gap(self, ratio: float) -> int:
+        """Words between two texts in a row that no window bridges with a known pair."""
+        longest = self.sizes[-1] if self.sizes else max(self.short, default=0)
+        return longest + int(ratio * longest) + 1
+
     def find(self, texts: list[list[bytes]], ratio: float):
         """(text, item, distance, first, end) of every leak in ``texts``."""
-        longest = self.sizes[-1] if self.sizes else max(self.short, default=0)
-        gap = longest + int(ratio * longest) + 1
+        gap = self.gap(ratio)
         # all texts in one row, with gaps that no window bridges with a known pair
         at, parts = [], []
         n = 0
@@ -241,15 +271,13 @@ class Items:
             return
         p, m = np.concatenate(starts), np.concatenate(sizes)
         padded = np.concatenate([x, np.zeros(longest, np.int64)])
-        for i in range(0, len(p), 16384):
-            a, b = p[i : i + 16384], m[i : i + 16384]
-            inside = np.arange(longest)[None, :]
-            strings = np.where(inside < b[:, None], padded[a[:, None] + inside], 0)
-            keys = self.embedding.keys(strings, b)
-            flat = keys.ravel()
+        for i, j in portions(m):
+            a, b = p[i:j], m[i:j]
+            inside = np.arange(b[-1])[None, :]
+            flat = self.embedding.keys(np.where(inside < b[:, None], padded[a[:, None] + inside], 0), b).ravel()
             low, high = np.searchsorted(self.keys, flat, "left"), np.searchsorted(self.keys, flat, "right")
-            for j in np.flatnonzero(high > low):
-                hits.update((int(self.owner[o]), int(a[j % len(a)])) for o in range(low[j], high[j]))
+            for k in np.flatnonzero(high > low):
+                hits.update((int(self.owner[o]), int(a[k % len(a)])) for o in range(low[k], high[k]))
         first = np.array(at)
         spans: list[list[int]] = []
         for item, s in sorted(hits):
@@ -267,13 +295,27 @@ class Items:
                 best[doc, item] = min(got, best.get((doc, item), got))
 
 
-def blocks_of(benchmark: DataFrame, size: int = BLOCK):
-    """Broadcasts of at most about ``size`` (item_id, text) each, taken one after the other."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    blocks = max(1, -(-items.count() // size))
-    for b in range(blocks):
-        yield spark.sparkContext.broadcast([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()])
+def blocks_of(benchmark: DataFrame, size: int = BLOCK, characters: int = CHARACTERS) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most so many rows and characters, but for an item that is longer by itself; the driver holds a block at a time."""
+    held, n = [], 0
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().toLocalIterator():
+        more = len(row["text"] or "")
+        if held and (len(held) == size or n + more > characters):
+            yield held
+            held, n = [], 0
+        held.append(tuple(row))
+        n += more
+    yield held
+
+
+def one_by_one(benchmark: DataFrame) -> Iterator[tuple[int, bool, Broadcast]]:
+    """(number, whether it is the only one, broadcast) of each block."""
+    sc, blocks = benchmark.sparkSession.sparkContext, blocks_of(benchmark)
+    now, b = next(blocks), 0
+    while now is not None:
+        after = next(blocks, None)
+        yield b, not b and after is None, sc.broadcast(now)
+        now, b = after, b + 1
 
 
 def found_in(texts, known: Items, ratio: float):
@@ -282,7 +324,7 @@ def found_in(texts, known: Items, ratio: float):
     done, n = 0, 0
     for i, text in enumerate(texts):
         held.append(words(text.as_py()))
-        n += len(held[-1])
+        n += len(held[-1]) + known.gap(ratio)
         if n > 400_000 or i == len(texts) - 1:
             for d, *rest in known.find(held, ratio):
                 yield (done + d, *rest)
@@ -294,11 +336,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least:
     small_batches(docs.sparkSession)
     times = repetitions(recall, hamming)
 
-    def of_block(sent) -> DataFrame:
+    def of_block(shared) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
-            known = Items(sent.value, ratio, least, times)
+            known = Items(shared.value, ratio, least, times)
             titles = [x.split()[0] for x in SCHEMA.split(", ")]
             for batch in batches:
                 if known.ids and batch.num_rows:
@@ -308,10 +350,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least:
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
-    found = None
-    for sent in blocks_of(benchmark):
-        found = of_block(sent) if found is None else found.union(of_block(sent))
-    return found
+    work, parts = Workspace(docs.sparkSession, "leaks"), []
+    for b, only, shared in one_by_one(benchmark):
+        if only:
+            return of_block(shared)
+        work.table(of_block(shared), f"block-{b}")
+        parts.append(work.sub(f"block-{b}"))
+        shared.destroy()
+    return docs.sparkSession.read.schema(SCHEMA).parquet(*parts)
 
 
 def filtered(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, least: int = 8, recall: float = 0.99, hamming: float = 0.25) -> DataFrame:
@@ -320,11 +366,11 @@ def filtered(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, leas
     times = repetitions(recall, hamming)
     at = docs.columns.index("text")
 
-    def without(frame: DataFrame, sent) -> DataFrame:
+    def without(frame: DataFrame, shared) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
-            known = Items(sent.value, ratio, least, times)
+            known = Items(shared.value, ratio, least, times)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 if known.ids:
@@ -334,8 +380,14 @@ def filtered(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.15, leas
 
         return frame.mapInArrow(run, frame.schema)
 
-    for sent in blocks_of(benchmark):
-        docs = without(docs, sent)
+    work = Workspace(docs.sparkSession, "clean")
+    for b, only, shared in one_by_one(benchmark):
+        if only:
+            return without(docs, shared)
+        docs = work.table(without(docs, shared), f"block-{b}")
+        shared.destroy()
+        if b:
+            work.drop(f"block-{b - 1}")
     return docs
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,8 +64,7 @@ def test_edited_leaks_are_found(spark, monkeypatch):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]) for x in d.leaks(docs, bench).collect()}
     assert len(got & want) >= 0.95 * len(want) and not got - want
-    monkeypatch.setattr(d, "BLOCK", 7)
-    monkeypatch.setattr(d.blocks_of, "__defaults__", (7,))
+    monkeypatch.setattr(d.blocks_of, "__defaults__", (7, d.CHARACTERS))
     again = {(x["doc_id"], x["item_id"]) for x in d.leaks(docs, bench).collect()}  # other blocks, other walks
     assert len(again & want) >= 0.95 * len(want) and not again - want
     assert {x["doc_id"] for x in d.filtered(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in again}
@@ -92,6 +92,31 @@ def test_long_items_are_found_at_the_full_ratio():
         assert {x[:2] for x in known.find(texts, 0.15)} == want and len(want) > 50
 
 
+def test_very_long_items_take_bounded_memory():
+    r = random.Random(8)
+    vocabulary = [b"w%d" % i for i in range(5000)]
+    item = r.choices(vocabulary, k=2000)
+    leak = list(item)
+    for at in r.sample(range(2000), 150):
+        leak[at] = b"other"
+    short = r.choices(vocabulary, k=20)
+    texts = [r.choices(vocabulary, k=300) + leak, r.choices(vocabulary, k=3000), item[:1500], short + [b"x"]]
+    tracemalloc.start()
+    known = d.Items([(0, b" ".join(item).decode()), (1, b" ".join(short).decode())], 0.15, 8, d.repetitions(0.99, 0.25))
+    got = {x[:2] for x in known.find(texts, 0.15)}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {(0, 0), (3, 1)} and most < 200e6
+
+
+def test_blocks_are_bounded(spark):
+    texts = ["word " * 10] * 30 + ["long " * 400] + [None]
+    items = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 50
+    blocks = list(d.blocks_of(spark.createDataFrame(items, "item_id long, text string"), 8, 300))
+    assert sorted(i for b in blocks for i, _ in b) == list(range(len(texts)))
+    assert all(len(b) == 1 or len(b) <= 8 and sum(len(t or "") for _, t in b) <= 300 for b in blocks) and len(blocks) <= 8
+
+
 def test_short_items_are_found_as_they_are(spark):
     short = [(1, "What is NaCl?"), (2, "forty-two"), (3, "one two three four five six seven"), (4, "What is NaCl?"), (5, "?!")]
     long = [(9, "one two three four five six seven eight nine ten")]
