@@ -55,13 +55,14 @@ def pin(spark: SparkSession, name: str, columns: list[str] | None = None) -> tup
     frame = now.select(*columns) if columns else now
     if not frame.columns:
         raise ValueError(f"{name!r} has no columns to hold")
+    frame.createOrReplaceTempView(name)  # before it is held, as replacing a view gives up what was cached of it
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     rows = frame.count()
     if rows == 0:
         frame.unpersist()
+        now.createOrReplaceTempView(name)
         return 0, 0, 0
     _pinned[id(spark), name] = Pinned(frame, rows, now)
-    frame.createOrReplaceTempView(name)
     return rows, len(frame.columns), 0
 
 
@@ -75,13 +76,20 @@ def pin_all(spark: SparkSession, names: tuple[str, ...] = STAR) -> str:
     return "ok"
 
 
+def unpin(spark: SparkSession, name: str) -> bool:
+    """Give up one table, whose view returns to its source; false if it isn't held."""
+    held = _pinned.pop((id(spark), name), None)
+    if held is not None:
+        held.frame.unpersist()
+        held.source.createOrReplaceTempView(name)
+    return held is not None
+
+
 def unpin_all(spark: SparkSession) -> str:
     """Give up what this module holds, and nothing that the user has cached; views return to their sources."""
-    for (owner, name), held in list(_pinned.items()):
+    for owner, name in list(_pinned):
         if owner == id(spark):
-            held.frame.unpersist()
-            held.source.createOrReplaceTempView(name)
-            del _pinned[owner, name]
+            unpin(spark, name)
     return "ok"
 
 
