@@ -1,12 +1,15 @@
 """Exact cosine top-k over pinned tables of unit vectors.
 
-A search sends the queries, whose number the caller bounds, to all tasks; each keeps
+A search sends the queries, in blocks of bounded number, to all tasks; each keeps
 its own top k by a matrix product over Arrow batches, and the final ranking reads k rows
 a task and query.  Ties are broken by position, inside the limit too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -112,28 +115,36 @@ def search(spark: SparkSession, name: str, query: list[float], k: int) -> DataFr
     return search_batch(spark, name, [query], k).select("idx", "score").orderBy(F.desc("score"), "idx")
 
 
-def search_batch(spark: SparkSession, name: str, queries: list[list[float]], k: int) -> DataFrame:
-    """(query_no, idx, score) of the k nearest to each query."""
+def _blocks(queries: list[list[float]] | DataFrame) -> Iterator[tuple[np.ndarray, list[list[float]]]]:
+    """(numbers, vectors) of ``BLOCK`` queries at a time; of a table, the driver holds no more at once."""
+    rows = ((r[0], r[1]) for r in queries.toLocalIterator()) if isinstance(queries, DataFrame) else enumerate(queries)
+    while held := list(islice(rows, BLOCK)):
+        yield np.array([n for n, _ in held], np.int64), [v for _, v in held]
+
+
+def search_batch(spark: SparkSession, name: str, queries: list[list[float]] | DataFrame, k: int) -> DataFrame:
+    """(query_no, idx, score) of the k nearest to each query: a list, numbered from 0, or a table (number, vector)."""
     rows, _, dim = _known(spark, name)
-    unit = _unit(queries, dim)
-    if k <= 0 or not len(unit):
+    best = None
+    for numbers, vectors in _blocks(queries):
+        unit = _unit(vectors, dim)
+        if k > 0:
+            part = _nearest(rows, unit, numbers, k)
+            best = part if best is None else best.union(part)
+    if best is None:
         return spark.createDataFrame([], "query_no long, idx long, score double")
-    parts = [_nearest(rows, unit[i : i + BLOCK], i, k) for i in range(0, len(unit), BLOCK)]
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.union(p)
     ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("query_no").orderBy(F.desc("score"), "idx")))
     return ranked.filter(F.col("r") <= k).select("query_no", "idx", "score")
 
 
-def _nearest(rows: DataFrame, unit: np.ndarray, first: int, k: int) -> DataFrame:
+def _nearest(rows: DataFrame, unit: np.ndarray, numbers: np.ndarray, k: int) -> DataFrame:
     """Each task's k nearest to each query."""
-    sent = rows.sparkSession.sparkContext.broadcast(unit)
+    shared = rows.sparkSession.sparkContext.broadcast((numbers, unit))
 
     def run(batches):
         import pyarrow as pa
 
-        q = sent.value
+        numbers, q = shared.value
         held_idx, held = np.empty((len(q), 0), np.int64), np.empty((len(q), 0))
         for batch in batches:
             if not batch.num_rows:
@@ -147,7 +158,7 @@ def _nearest(rows: DataFrame, unit: np.ndarray, first: int, k: int) -> DataFrame
                 held, held_idx = np.take_along_axis(held, order, 1), np.take_along_axis(held_idx, order, 1)
         n = held.shape[1]
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, first + len(q)), n)), pa.array(held_idx.ravel()), pa.array(held.ravel())], ["query_no", "idx", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, n)), pa.array(held_idx.ravel()), pa.array(held.ravel())], ["query_no", "idx", "score"])
 
     return rows.select("idx", "unit").mapInArrow(run, "query_no long, idx long, score double")
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from bramble.functions.exprs import avg_decimal, cosine, dec, ieee_div, list_expr_sum, list_sum
 from bramble.operators import aggregate, vector
-from bramble.plans import tpch
+from bramble.plans import advisor, tpch
+from bramble.session import get_option, set_option
 from bramble.sources import tables
 from bramble.sources.tables import STAR, load
 from bramble.streaming import events as streams
@@ -50,7 +51,7 @@ QTY, PRICE, DISC, TAX = (lambda c=c: dec(c) for c in ("l_quantity", "l_extendedp
 wide = lambda c, s=2: c.cast(f"decimal(38,{s})")
 
 for _k, _q in tpch.QUERIES.items():
-    by_sql(_k, _q)
+    by_sql(_k, tpch.on_spark(_k), _q)
 
 # --- scans, filters ---------------------------------------------------------------------------------
 
@@ -207,8 +208,19 @@ def groupby_wide_keys(spark, sf_dir):
 
 @query(f"SELECT l_suppkey AS k, {D('SUM(' + tpch.QTY + ')')} AS total, {N} AS n FROM lineitem GROUP BY l_suppkey")
 def groupby_paths(spark, sf_dir):
-    rows = items(spark, sf_dir).repartition(F.col("l_suppkey")).sortWithinPartitions("l_suppkey")
-    return rows.groupBy(F.col("l_suppkey").alias("k")).agg(F.sum(QTY()).cast("decimal(15,2)").alias("total"), F.count(F.lit(1)).alias("n"))
+    return aggregate.grouped(items(spark, sf_dir), [F.col("l_suppkey").alias("k")], {"total": F.sum(QTY()).cast("decimal(15,2)"), "n": F.count(F.lit(1))})
+
+
+@query(f"SELECT p.path, l_linenumber AS k, {SUMS_SQL} FROM lineitem, (VALUES ('auto'), ('hash'), ('sort')) p(path) GROUP BY p.path, l_linenumber")
+def setting_groupby_path(spark, sf_dir):
+    """One grouping under each value of the setting."""
+    before, out = get_option(spark, "groupby_path"), None
+    for path in ("auto", "hash", "sort"):
+        set_option(spark, "groupby_path", path)
+        part = aggregate.grouped(items(spark, sf_dir), [F.col("l_linenumber").alias("k")], SUMS()).select(F.lit(path).alias("path"), "k", "total", "n", "least", "most")
+        out = part if out is None else out.union(part)
+    set_option(spark, "groupby_path", before)
+    return out
 
 
 @query(f"SELECT CAST(SUM(s) AS DECIMAL(38,2)) AS checksum FROM (SELECT l_partkey, SUM({tpch.QTY}) AS s FROM lineitem GROUP BY l_partkey) t")
@@ -314,9 +326,18 @@ def pinned(spark, sf_dir, name="embeddings", precision="float64") -> DataFrame:
     return rows
 
 
-def first_queries(rows: DataFrame, n: int) -> list[list[float]]:
-    """The vectors of the n least ids: the query set of the searches below."""
-    return [list(r[0]) for r in rows.filter(F.col("vec_id") < n).orderBy("vec_id").select("embedding").collect()]
+def query_set(rows: DataFrame) -> DataFrame:
+    """(number, vector) of every row whose id is divisible by 50: the query set of the batch searches below."""
+    return rows.filter(F.col("vec_id") % 50 == 0).select("vec_id", "embedding")
+
+
+def one_query(rows: DataFrame, i: int) -> list[float]:
+    return list(rows.filter(F.col("vec_id") == i).select("embedding").first()[0])
+
+
+def ranked(top: int, columns: str) -> str:
+    return f"""SELECT {columns} FROM (SELECT q.vec_id AS query_no, e.vec_id AS idx, {COS('e.embedding', 'q.embedding')} AS s,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS('e.embedding', 'q.embedding')} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) t WHERE r <= {top}"""
 
 
 @query("SELECT CAST(COUNT(*) AS BIGINT) AS vectors FROM embeddings")
@@ -332,39 +353,34 @@ def vss_norms(spark, sf_dir):
     return vector.store(spark, "embeddings").select("vec_id", "idx", F.round(F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
-@query("SELECT CAST(q AS BIGINT) AS query_no, CAST(q AS BIGINT) AS idx, CAST(1 AS DOUBLE) AS score FROM range(8) t(q)")
+@query(ranked(1, "query_no, idx, ROUND(s, 6) AS score"))
 def vss_top1_self(spark, sf_dir):
     rows = pinned(spark, sf_dir)
-    return vector.search_batch(spark, "embeddings", first_queries(rows, 8), 1).select("query_no", "idx", F.round("score", 6).alias("score"))
+    return vector.search_batch(spark, "embeddings", query_set(rows), 1).select("query_no", "idx", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT vec_id AS idx, ROUND(s, 6) AS score FROM (SELECT e.vec_id, {COS('e.embedding', 'q.embedding')} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 0) t ORDER BY s DESC, vec_id LIMIT {TOP}")
 def vss_topk(spark, sf_dir):
     rows = pinned(spark, sf_dir)
-    return vector.search(spark, "embeddings", first_queries(rows, 1)[0], TOP).select("idx", F.round("score", 6).alias("score"))
+    return vector.search(spark, "embeddings", one_query(rows, 0), TOP).select("idx", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT vec_id AS idx, ROUND(s, 6) AS score FROM (SELECT e.vec_id, {COS('e.embedding', 'q.embedding')} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 1) t ORDER BY s DESC, vec_id LIMIT {TOP}")
 def vss_topk_expr(spark, sf_dir):
     rows = pinned(spark, sf_dir)
-    return vector.search_expr(spark, "embeddings", first_queries(rows, 2)[1], TOP).select("idx", F.round("score", 6).alias("score"))
-
-
-def ranked(queries: int, score: bool = True) -> str:
-    return f"""SELECT query_no, idx{', ROUND(s, 6) AS score' if score else ''} FROM (SELECT q.vec_id AS query_no, e.vec_id AS idx, {COS('e.embedding', 'q.embedding')} AS s,
- row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS('e.embedding', 'q.embedding')} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id < {queries}) t WHERE r <= {TOP}"""
+    return vector.search_expr(spark, "embeddings", one_query(rows, 1), TOP).select("idx", F.round("score", 6).alias("score"))
 
 
-@query(ranked(32))
+@query(ranked(TOP, "query_no, idx, ROUND(s, 6) AS score"))
 def vss_batch_topk(spark, sf_dir):
     rows = pinned(spark, sf_dir)
-    return vector.search_batch(spark, "embeddings", first_queries(rows, 32), TOP).select("query_no", "idx", F.round("score", 6).alias("score"))
+    return vector.search_batch(spark, "embeddings", query_set(rows), TOP).select("query_no", "idx", F.round("score", 6).alias("score"))
 
 
-@query("SELECT CAST(q AS BIGINT) AS query_no, CAST(q AS BIGINT) AS idx FROM range(16) t(q)")
+@query(ranked(1, "query_no, idx"))
 def vss_half(spark, sf_dir):
     rows = pinned(spark, sf_dir, "embeddings-half", "float16")
-    return vector.search_batch(spark, "embeddings-half", first_queries(rows, 16), 1).select("query_no", "idx")
+    return vector.search_batch(spark, "embeddings-half", query_set(rows), 1).select("query_no", "idx")
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, ROUND({COS('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = a.vec_id + 1")
@@ -374,10 +390,10 @@ def cosine_pairs(spark, sf_dir):
     return a.join(rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b").select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score"))
 
 
-@query(ranked(5, False).replace("query_no, idx FROM", "query_no, idx, CAST(r AS BIGINT) AS place FROM"))
+@query(ranked(TOP, "query_no, idx, CAST(r AS BIGINT) AS place"))
 def lateral_topk(spark, sf_dir):
     rows = pinned(spark, sf_dir)
-    found = vector.search_batch(spark, "embeddings", first_queries(rows, 5), TOP)
+    found = vector.search_batch(spark, "embeddings", query_set(rows), TOP)
     from pyspark.sql import Window
 
     return found.select("query_no", "idx", F.row_number().over(Window.partitionBy("query_no").orderBy(F.desc("score"), "idx")).cast("long").alias("place"))
@@ -403,25 +419,188 @@ def append_refresh(spark, sf_dir):
     return spark.table("appended_region").groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def pin_report(spark, sf_dir):
+def is_held(spark, name: str) -> int:
+    """Whether a view is answered from what is cached."""
+    return int("InMemoryTableScan" in advisor.plan_text(spark.table(name)))
+
+
+REPORT = " UNION ALL ".join(f"SELECT '{{1}}_{t}' AS table_name, {N} AS row_count, CAST({c} AS BIGINT) AS column_count, CAST({{0}} AS BIGINT) AS already_resident FROM {t}" for t, c in (("nation", 3), ("region", 2)))
+
+
+def held(spark, sf_dir, prefix: str) -> tuple[str, ...]:
+    """Views of two tables under names of their own, not resident."""
+    names = []
     for t in ("nation", "region"):
-        load(spark, sf_dir, t).createOrReplaceTempView(f"report_{t}")
-    return tables.pin_report(spark, ("report_nation", "report_region"))
+        name = f"{prefix}_{t}"
+        tables.unpin(spark, name)
+        load(spark, sf_dir, t).createOrReplaceTempView(name)
+        names.append(name)
+    return tuple(names)
+
+
+@query(REPORT.format(0, "report"))
+def pin_report(spark, sf_dir):
+    return tables.pin_report(spark, held(spark, sf_dir, "report"))
+
+
+@query(REPORT.format(1, "again"))
+def pin_again(spark, sf_dir):
+    names = held(spark, sf_dir, "again")
+    tables.pin_report(spark, names)
+    return tables.pin_report(spark, names)
+
+
+@query(f"SELECT 'ok' AS pinned, (SELECT {N} FROM nation) AS nations, (SELECT {N} FROM lineitem) AS items")
+def pin_all(spark, sf_dir):
+    """The star's tables at once, under their own names; they are let go again, as other queries read other folders."""
+    tables.register(spark, sf_dir)
+    said = tables.pin_all(spark)
+    out = spark.createDataFrame([(said, *(spark.table(t).count() for t in ("nation", "lineitem")))], "pinned string, nations long, items long")
+    for t in STAR:
+        tables.unpin(spark, t)
+    return out
 
 
-@query()
+@query("SELECT 'ok' AS cleared, CAST(0 AS BIGINT) AS still_resident, CAST(1 AS BIGINT) AS users_own")
+def cache_clear(spark, sf_dir):
+    """What the engine holds is given up, and what the user has cached is not."""
+    mine = load(spark, sf_dir, "region").filter("r_regionkey >= 0").cache()
+    names = held(spark, sf_dir, "cleared")
+    tables.pin_report(spark, names)
+    said = tables.unpin_all(spark)
+    still = sum(is_held(spark, n) for n in names)
+    out = spark.createDataFrame([(said, still, int(mine.storageLevel.useMemory))], "cleared string, still_resident long, users_own long")
+    mine.unpersist()
+    return out
+
+
+@query(f"SELECT CAST(16 AS BIGINT) AS segments_total, CAST(12 AS BIGINT) AS segments_pruned, {N} AS row_count FROM lineitem")
 def cache_stats(spark, sf_dir):
-    rows = items(spark, sf_dir).repartitionByRange(16, "l_orderkey")
-    most = items(spark, sf_dir).agg(F.max("l_orderkey")).first()[0]
-    return tables.cache_stats(rows, "l_orderkey", high=(most or 0) // 4)
+    """16 segments of a numbered table, of which a range of the first quarter excludes 12."""
+    n = items(spark, sf_dir).count()
+    rows = spark.range(0, n, 1, 16)
+    return tables.cache_stats(rows, "id", high=n // 4 - 1).withColumn("row_count", F.lit(n).cast("long"))
+
+
+@query("SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(i) AS BIGINT) AS total, CAST(MAX(i) AS BIGINT) AS most FROM range(100000) t(i)")
+def range_source(spark, sf_dir):
+    return spark.range(100_000).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"), F.max("id").alias("most"))
+
+
+@query(f"SELECT {N} AS n FROM lineitem WHERE l_quantity > 25.5")
+def set_variable(spark, sf_dir):
+    items(spark, sf_dir).createOrReplaceTempView("variable_lineitem")
+    spark.sql("DECLARE OR REPLACE VARIABLE least_quantity DOUBLE DEFAULT 0")
+    spark.sql("SET VAR least_quantity = 25.5D")
+    return spark.sql("SELECT COUNT(*) AS n FROM variable_lineitem WHERE l_quantity > least_quantity")
+
+
+# --- settings and advice ----------------------------------------------------------------------------
+
+
+@query("SELECT 'bramble' AS engine, true AS names_versions, 'ok' AS selftest")
+def engine_info(spark, sf_dir):
+    said = advisor.info(spark)
+    return spark.createDataFrame([(said.split()[0], f"spark={spark.version}" in said and "python=" in said, advisor.selftest(spark))], "engine string, names_versions boolean, selftest string")
+
+
+def four(rows: DataFrame) -> DataFrame:
+    """An aggregate that the cost rules serve: four expressions in one pass."""
+    x, y = F.col("l_extendedprice"), F.col("l_quantity")
+    return rows.agg(F.round(F.sum(F.floor(x * 100 + 0.5) * 0.01), 2).alias("total"), F.round(F.avg(x - y), 4).alias("mean"), F.min(x + y).alias("least"), F.max(x - y).alias("most"))
+
+
+FOUR = "ROUND(SUM(FLOOR(l_extendedprice * 100 + 0.5) * 0.01), 2) AS total, ROUND(AVG(l_extendedprice - l_quantity), 4) AS mean, MIN(l_extendedprice + l_quantity) AS least, MAX(l_extendedprice - l_quantity) AS most"
+
+
+def served(spark, sf_dir, name: str, execution: str, min_rows: int) -> tuple[DataFrame, str, str, int]:
+    """The aggregate under settings, which are put back; its path and reason, and whether it left its columns resident."""
+    before = {k: get_option(spark, k) for k in ("execution", "min_rows")}
+    tables.unpin(spark, name)
+    items(spark, sf_dir).createOrReplaceTempView(name)
+    try:
+        set_option(spark, "execution", execution)
+        set_option(spark, "min_rows", min_rows)
+        out, told = advisor.serve(spark, name, four, ["l_extendedprice", "l_quantity"])
+    finally:
+        for k, v in before.items():
+            set_option(spark, k, v)
+    return out, told.path.value, told.reason.value, is_held(spark, name)
+
+
+def by_settings(name: str, *cases: tuple[str, str, int, str, str, int]) -> None:
+    """A query that answers the aggregate under each case: label, execution, least rows; path, reason and residency that follow."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = None
+        for i, (label, execution, min_rows, *_) in enumerate(cases):
+            found, path, reason, resident = served(spark, sf_dir, f"{name}_{i}", execution, min_rows)
+            part = found.select(F.lit(label).alias("label"), F.lit(path).alias("path"), F.lit(reason).alias("reason"), F.lit(resident).cast("long").alias("resident"), "total", "mean", "least", "most")
+            out = part if out is None else out.union(part)
+        return out
+
+    _queries[name] = run
+    _oracles[name] = " UNION ALL ".join(f"SELECT '{label}' AS label, '{path}' AS path, '{reason}' AS reason, CAST({resident} AS BIGINT) AS resident, {FOUR} FROM lineitem" for label, _, _, path, reason, resident in cases)
+
+
+by_settings("cold_residency", ("cold", "true", 0, "AGG", "SERVED", 1))
+by_settings("setting_execution", ("on", "true", 0, "AGG", "SERVED", 1), ("off", "false", 0, "GENERAL", "OFF", 0))
+by_settings("setting_min_rows", ("few", "true", 1 << 60, "GENERAL", "FEW_ROWS", 0), ("enough", "true", 1, "AGG", "SERVED", 1))
+
+
+@query("SELECT * FROM (VALUES ('critical', true), ('debug', true), ('error', true), ('info', true), ('loud', false), ('off', true), ('trace', true), ('warn', true)) t(level, accepted)")
+def setting_log_level(spark, sf_dir):
+    before, rows = get_option(spark, "log_level"), []
+    for level in ("trace", "debug", "info", "warn", "error", "critical", "off", "loud"):
+        try:
+            set_option(spark, "log_level", level)
+            rows.append((level, get_option(spark, "log_level") == level))
+        except ValueError:
+            rows.append((level, False))
+    set_option(spark, "log_level", before)
+    return spark.createDataFrame(rows, "level string, accepted boolean")
+
+
+#: What is asked, the shape, and the reason that the cost rules give.
+SHAPES = [
+    ("plain sum", advisor.Shape(10**7, 1, 1, 1), "SCAN_BOUND"), ("count", advisor.Shape(10**7, 1, 0), "SCAN_BOUND"), ("few rows", advisor.Shape(1000, 4, 4), "FEW_ROWS"), ("two decimals", advisor.Shape(10**7, 2, 2, 0, 2), "DECIMAL_FEW_AGGS"),
+    ("large decimals", advisor.Shape(10**7, 4, 4, 0, 4, bound=1 << 60), "OVERFLOW_RISK"), ("three keys", advisor.Shape(10**7, 2, 2, keys=3), "KEYS_UNSUPPORTED"), ("null keys", advisor.Shape(10**7, 2, 2, keys=1, nullable_keys=True), "KEYS_UNSUPPORTED"),
+    ("cold groups", advisor.Shape(10**6, 2, 2, keys=1, groups=50), "COLD_LOW_CARD"), ("resident groups", advisor.Shape(10**6, 2, 2, keys=1, groups=50, resident=True), "SERVED"), ("many rows", advisor.Shape(10**7, 2, 2, keys=1, groups=50), "SERVED"),
+    ("median", advisor.Shape(10**7, 2, 2, unsupported_aggregate=True), "AGGREGATE_UNSUPPORTED"), ("like", advisor.Shape(10**7, 2, 2, unsupported_expression=True), "EXPRESSION_UNSUPPORTED"), ("no aggregate", advisor.Shape(10**7, 0, 0), "NOT_AN_AGGREGATE"),
+    ("expressions", advisor.Shape(10**7, 4, 4), "SERVED"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{r}')" for k, _, r in SHAPES) + ") t(asked, reason)")
+def decline_reasons(spark, sf_dir):
+    return spark.createDataFrame([(k, advisor.decide(spark, x).reason.value) for k, x, _ in SHAPES], "asked string, reason string")
+
+
+@query("""SELECT * FROM (VALUES ('count', 'GENERAL', 'SCAN_BOUND'), ('distinct', 'GENERAL', 'AGGREGATE_UNSUPPORTED'), ('expressions', 'AGG', 'SERVED'), ('groups', 'GENERAL', 'COLD_LOW_CARD'), ('like', 'GENERAL', 'EXPRESSION_UNSUPPORTED'),
+ ('rows', 'GENERAL', 'NOT_AN_AGGREGATE'), ('sum', 'GENERAL', 'SCAN_BOUND')) t(asked, path, reason)""")
+def explain_operator(spark, sf_dir):
+    """The path that each plan shows, with rows and groups taken from the table."""
+    rows, before = items(spark, sf_dir), get_option(spark, "min_rows")
+    asked = {
+        "count": rows.agg(F.count(F.lit(1)).alias("n")), "distinct": rows.agg(F.countDistinct("l_suppkey").alias("n"), F.sum("l_tax").alias("s")), "expressions": four(rows), "groups": rows.groupBy("l_linenumber").agg(F.sum("l_quantity").alias("s"), F.min("l_tax").alias("t")),
+        "like": rows.filter(F.col("l_returnflag").like("%A_B%")).agg(F.sum("l_quantity").alias("s"), F.min("l_tax").alias("t")), "rows": rows.select("l_tax"), "sum": rows.agg(F.sum("l_quantity").alias("s")),
+    }
+    set_option(spark, "min_rows", 1)
+    try:
+        told = [(k, d.path.value, d.reason.value) for k, d in ((k, advisor.advise(df)) for k, df in asked.items())]
+    finally:
+        set_option(spark, "min_rows", before)
+    return spark.createDataFrame(told, "asked string, path string, reason string")
 
 
 # --- joins, sets, subqueries, order -----------------------------------------------------------------
 
 by_sql("semi_exists", f"SELECT c_mktsegment, {N} AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) GROUP BY c_mktsegment")
 by_sql("anti_not_exists", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-by_sql("anti_not_in", f"SELECT {N} AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+by_sql(
+    "anti_not_in", f"SELECT {N} AS n FROM part WHERE {tpch.not_in('p_partkey', 'l_partkey', 'lineitem', 'l_quantity > 49')}",
+    f"SELECT {N} AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)",
+)
 by_sql("self_join_theta", f"SELECT a.l_linenumber, {N} AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_linenumber")
 by_sql("join_or_predicate", f"SELECT p_brand, {N} AS n FROM lineitem, part WHERE (p_partkey = l_partkey AND p_size < 10 AND l_quantity < 5) OR (p_partkey = l_partkey AND p_size > 40 AND l_quantity > 45) GROUP BY p_brand")
 by_sql("join_left_outer", f"SELECT n_name, CAST(COUNT(s_suppkey) AS BIGINT) AS suppliers FROM nation LEFT OUTER JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 5000 GROUP BY n_name")

@@ -1,4 +1,4 @@
-"""The TPC-H queries on the driver's star schema, in SQL that Spark and an ANSI engine share.
+"""The TPC-H queries (public, fixed texts) on the driver's star schema, in SQL that Spark and an ANSI engine share.
 
 Windows of 1992-1994 are moved to 1996, as data begin in 1995; literals are
 such as occur.  Where a table or column is missing, the query keeps its
@@ -131,3 +131,59 @@ SELECT cntrycode, {N} AS numcust, CAST(SUM(c_acctbal) AS DECIMAL(38,2)) AS totac
   WHERE SUBSTRING(c_mktsegment, 1, 2) IN ('BU', 'AU', 'MA', 'HO') AND {D("c_acctbal")} > (SELECT AVG({D("c_acctbal")}) FROM customer WHERE c_acctbal > 0.00)
     AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')) custsale GROUP BY cntrycode""",
 }
+
+
+def cents(x: str) -> str:
+    """Hundredths as whole numbers: money and quantities are doubles that stand for them."""
+    return f"FLOOR({x} * 100 + 0.5)"
+
+
+def lanes(whole: str, scale: int) -> str:
+    """The exact sum of 64-bit numbers, in two 64-bit parts that don't overflow below 2**43 rows a group, at a decimal scale."""
+    return f"CAST((CAST(SUM(SHIFTRIGHT({whole}, 20)) AS DECIMAL(20,0)) * 1048576 + CAST(SUM({whole} & 1048575) AS DECIMAL(20,0))) AS DECIMAL(30,0)) * CAST({10.0**-scale:.{scale}f} AS DECIMAL({scale + 1},{scale}))"
+
+
+def of(where: str) -> str:
+    """Supplies of some lines only."""
+    return SUPPLY.replace("GROUP BY", f"WHERE {where} GROUP BY")
+
+
+_C = {x: cents(f"l_{x}") for x in ("extendedprice", "discount", "tax", "quantity")}
+_NET = f"{_C['extendedprice']} * (100 - {_C['discount']})"
+#: Sums that Spark takes over 64-bit numbers in place of wide decimals.
+_SUMS = {
+    REVENUE: f"CAST({lanes(_NET, 4)} AS DECIMAL(38,4))",
+    f"CAST(SUM({PRICE} * (1 - {DISC}) * (1 + {TAX})) AS DECIMAL(38,6))": f"CAST({lanes(f'{_NET} * (100 + {_C["tax"]})', 6)} AS DECIMAL(38,6))",
+    f"CAST(SUM({PRICE} * {DISC}) AS DECIMAL(38,4))": f"CAST({lanes(f'{_C["extendedprice"]} * {_C["discount"]}', 4)} AS DECIMAL(38,4))",
+    f"CAST(SUM({PRICE}) AS DECIMAL(38,2))": f"CAST({lanes(_C['extendedprice'], 2)} AS DECIMAL(38,2))",
+    f"CAST(SUM({QTY}) AS DECIMAL(38,2))": f"CAST({lanes(_C['quantity'], 2)} AS DECIMAL(38,2))",
+}
+for _x, _c in ((QTY, _C["quantity"]), (PRICE, _C["extendedprice"]), (DISC, _C["discount"])):
+    _SUMS[avg(_x)] = ratio(lanes(_c, 2), "COUNT(*)")  # the columns are free of nulls where these are asked for
+#: Supplies are grouped for the lines that a query can use; NOT IN is an anti join beside checks for nulls, which needs no broadcast.
+_PARTS = {
+    "tpch_q2": "l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 15 AND p_type LIKE '%ARD')",
+    "tpch_q9": "l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%')",
+    "tpch_q11": "l_suppkey IN (SELECT s_suppkey FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_name = 'NATION_7')",
+    "tpch_q20": "l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%')",
+}
+
+
+def not_in(key: str, column: str, rows: str, where: str) -> str:
+    """``key NOT IN (SELECT column FROM rows WHERE where)``."""
+    return (
+        f"(NOT EXISTS (SELECT 1 FROM {rows} WHERE {where} AND {column} = {key}) AND NOT EXISTS (SELECT 1 FROM {rows} WHERE {where} AND {column} IS NULL) "
+        f"AND ({key} IS NOT NULL OR NOT EXISTS (SELECT 1 FROM {rows} WHERE {where})))"
+    )
+
+
+def on_spark(key: str) -> str:
+    """The text that Spark runs: equal rows, by a plan that suits it."""
+    text = QUERIES[key]
+    if key in _PARTS:
+        text = text.replace(SUPPLY, of(_PARTS[key]))
+    if key == "tpch_q16":
+        text = text.replace("ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)", not_in("ps_suppkey", "s_suppkey", "supplier", "s_acctbal < 0"))
+    for decimal, whole in _SUMS.items():
+        text = text.replace(decimal, whole)
+    return text

@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "engine.execution": ("true", ("true", "false")),
     "engine.min_rows": ("524288", None),
-    "engine.log_level": ("warn", ("trace", "debug", "info", "warn", "error", "off")),
+    "engine.log_level": ("warn", ("trace", "debug", "info", "warn", "error", "critical", "off")),
     "engine.groupby_path": ("auto", ("auto", "hash", "sort")),
 }
-LEVELS = {"trace": 5, "debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING, "error": logging.ERROR, "off": logging.CRITICAL + 10}
+LEVELS = {"trace": 5, "debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING, "error": logging.ERROR, "critical": logging.CRITICAL, "off": logging.CRITICAL + 10}
 log = logging.getLogger("bramble")
 
 
