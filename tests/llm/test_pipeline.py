@@ -10,7 +10,7 @@ from bramble.llm.common import Workspace, load
 
 
 def ids(text):
-    return [*packing.encoder(packing.default_ranks())(text or ""), 0]
+    return [*packing.encoder(*packing.default_files())(text or ""), 0]
 
 
 def test_stages(spark, small):
