@@ -24,7 +24,6 @@ training tokens every score is that of the untrained model.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +103,26 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "replace").rstrip(".,")[-3:].encode()) % ENDINGS
 
 
+def endings(listed: list[tuple[str, int]]) -> np.ndarray:
+    return np.array([ending(w.encode()) for w, _ in listed], np.int16)
+
+
+class Listed:
+    """What a lexicon is built from, to be broadcast; a worker builds it once for all its tasks of a stage."""
+
+    def __init__(self, listed: list[tuple[str, int]], modelled: int, named: int):
+        self.parts = (listed, modelled, named, endings(listed))
+        self.built: Lexicon | None = None
+
+    def __getstate__(self):
+        return {"parts": self.parts, "built": None}
+
+    def lexicon(self) -> Lexicon:
+        if self.built is None:
+            self.built = Lexicon(*self.parts)
+        return self.built
+
+
 def sizes_for(total: int, often: int) -> tuple[int, int, int]:
     """Words told apart, words named in histories and rows of weights, for so many tokens and words of ``LEARNT`` occurrences."""
     rows = BUCKETS
@@ -116,6 +135,35 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(7)), F.lit(0))
 
 
+class Tally:
+    """Counts of words by hash; their bytes stay in arrays, so that no word is touched by itself."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, data: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
+        h, first, n = np.unique(h, return_index=True, return_counts=True)
+        self.held.append((h, n, ends[first] - starts[first], cut(np.frombuffer(data, np.uint8), starts[first], ends[first])))
+        self.n += len(h)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, lengths and joined bytes of distinct words."""
+        h, n, sizes, data = (np.concatenate(x) for x in zip(*self.held))
+        h, first, which = np.unique(h, return_index=True, return_inverse=True)
+        n = np.bincount(which, n, len(h)).astype(np.int64)  # below 2**53
+        ends = np.cumsum(sizes)
+        data, sizes = cut(data, (ends - sizes)[first], ends[first]), sizes[first]
+        self.held, self.n = [(h, n, sizes, data)], len(h)
+        return n, sizes, data
+
+
+def cut(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of several stretches, one after another."""
+    sizes = ends - starts
+    return raw[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(word, c) over ``docs`` (text), summed in each task before the shuffle."""
     small_batches(docs.sparkSession)
@@ -123,26 +171,36 @@ def counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        seen: Counter = Counter()
-        powers = Powers()
+        tally, powers, texts_n = Tally(), Powers(), 0
+        schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
 
         def emit():
-            items = list(seen.items())
-            seen.clear()
-            for i in range(0, len(items), 65536):
-                part = items[i : i + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.int64())], ["word", "c"])
-
+            if not tally.n:
+                return
+            n, sizes, data = tally.merged()
+            tally.__init__()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for i in range(0, len(n), 65536):
+                j = min(i + 65536, len(n))
+                offsets = (ends[i : j + 1] - ends[i]).astype(np.int32)
+                words = pa.StringArray.from_buffers(j - i, pa.py_buffer(offsets), pa.py_buffer(data[ends[i] : ends[j]].tobytes()))
+                yield pa.RecordBatch.from_arrays([words, pa.array(n[i:j])], schema=schema)
+
+        fresh = 0
         for batch in batches:
             for texts in portions(batch.column(0)):
                 data, starts, ends, h, _ = tokens(texts, powers)
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
-                for a, b, c in zip(starts[first].tolist(), ends[first].tolist(), n.tolist()):
-                    seen[data[a:b]] += c
-                seen[END] += len(texts)
-                if len(seen) > 500_000:
-                    yield from emit()
+                tally.add(data, starts, ends, h)
+                texts_n += len(texts)
+                if tally.n > fresh + 1_000_000:
+                    tally.merged()
+                    fresh = tally.n
+                    if fresh > 500_000:
+                        yield from emit()
+                        fresh = 0
         yield from emit()
+        if texts_n:
+            yield pa.RecordBatch.from_arrays([pa.array([END.decode()]), pa.array([texts_n], pa.int64())], schema=schema)
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -163,7 +221,7 @@ def portions(texts, most: int = 1 << 19):
 class Lexicon:
     """word -> position in tables of class, slot, history hash and count; words not listed fall to their ending's position."""
 
-    def __init__(self, listed: list[tuple[str, int]], modelled: int, named: int = NAMED):
+    def __init__(self, listed: list[tuple[str, int]], modelled: int, named: int = NAMED, tails: np.ndarray | None = None):
         self.powers = Powers()
         data, starts, ends, h, which = tokens([w for w, _ in listed], self.powers)  # the end token alone has no word
         self.keys, self.values = hash_table(h, which)
@@ -171,7 +229,7 @@ class Lexicon:
         n = len(listed)
         self.n = n
         place = np.arange(n + ENDINGS)
-        tail = np.array([ending(w.encode()) for w, _ in listed] + list(range(ENDINGS)), np.int64)
+        tail = np.concatenate([endings(listed) if tails is None else tails, np.arange(ENDINGS)]).astype(np.int64)
         self.told = min(modelled, n)
         self.modelled = place < self.told
         self.cls = np.where(self.modelled, place // CLASS, CLASSES + tail % CLASSES)
@@ -306,26 +364,53 @@ def _since(ends: np.ndarray) -> np.ndarray:
 def softmax(z: np.ndarray) -> np.ndarray:
     """Shares; weights start at the logarithms of shares, so that no exponential overflows."""
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
-def forward(x: np.ndarray, f: np.ndarray, model: tuple, lexicon: Lexicon):
-    """Class shares of all tokens; of each step within a class its token, node, features and slot shares."""
+def gathered(weights: np.ndarray, z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``z`` with the rows of weights of each feature added in place."""
+    room = np.empty_like(z)
+    for a in at:
+        weights.take(a, axis=0, out=room, mode="clip")  # all rows exist; other modes copy first
+        z += room
+    return z
+
+
+def forward(x: np.ndarray, f: np.ndarray, model: tuple, lexicon: Lexicon, steps: tuple | None = None):
+    """Class shares of all tokens; of each step within a class (``Lexicon.steps``) its token, node, features and slot shares."""
     first, second, barred, empty = model
     at = (CLASS + f % np.uint64(len(first) - CLASS)).astype(np.int64)
-    z = first[0] + barred
-    z = z + first[at[0]]
-    for a in at[1:]:
-        z += first[a]
-    inner, k, _ = lexicon.steps(x)
+    z = gathered(first, np.tile(first[0] + barred, (len(x), 1)), at)
+    inner, k, _ = steps or lexicon.steps(x)
     at2 = (lexicon.reserved + (f[:, inner] * np.uint64(33) + k.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(len(second) - lexicon.reserved)).astype(np.int64)
-    z2 = second[k] + empty[k]
-    for a in at2:
-        z2 += second[a]
+    z2 = gathered(second, (second[: len(empty)] + empty).take(k, axis=0), at2)
     return at, softmax(z), inner, k, at2, softmax(z2)
 
 
+FEW, LONG = 4, 32
+CHUNK = 1024
+
+
+def summed(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of ``g`` over runs of ``order``, of which the longest come first."""
+    total = np.empty((len(first), g.shape[1]), g.dtype)
+    runs, long = (int(x) for x in np.searchsorted(-n, [-FEW, -LONG]))  # runs above each length
+    if runs:
+        sizes = n[:runs]
+        ends = np.cumsum(sizes)
+        rows = g.take(order[np.repeat(first[:runs] - (ends - sizes), sizes) + np.arange(int(ends[-1]))], axis=0)
+        for i in range(long):
+            np.add.reduce(rows[ends[i] - n[i] : ends[i]], axis=0, out=total[i])
+        if long < runs:
+            total[long:runs] = np.add.reduceat(rows, (ends - sizes)[long:], axis=0)
+    total[runs:] = g.take(order[first[runs:]], axis=0)
+    for j in range(1, FEW):
+        k = int(np.searchsorted(-n, -j))
+        total[runs:k] += g.take(order[first[runs:k] + j], axis=0)
+    return total
+
+
 def scatter(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
     """AdaGrad on rows of weights, from summed gradients of one batch."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort at this width
@@ -333,29 +418,37 @@ def scatter(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, g: np.nda
         order = order[np.argsort((rows >> 16).astype(np.uint16)[order], kind="stable")]
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    total = np.add.reduceat(g[order], first, axis=0)
-    at = rows[first]
-    s = square[at]
-    s += total * total
-    square[at] = s
-    s += 1
-    np.sqrt(s, out=s)
-    total /= s
-    total *= rate
-    weights[at] -= total
-
-
-def learn(docs: DataFrame, model: tuple, listed: list, told: tuple[int, int], rate: float, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(first, append=len(rows))
+    longest = np.argsort(-n, kind="stable")
+    first, n = first[longest], n[longest]
+    total, at = summed(g, order, first, n), rows[first]
+    whole = np.dtype((np.void, weights.strides[0]))  # a row as one item, which is written at once
+    to_weights, to_square = weights.view(whole).ravel(), square.view(whole).ravel()
+    room = np.empty((min(CHUNK, len(at)), g.shape[1]), g.dtype)
+    for i in range(0, len(at), CHUNK):  # pieces that stay in the processor's cache
+        some, change = at[i : i + CHUNK], total[i : i + CHUNK]
+        s = square.take(some, axis=0)
+        s += np.multiply(change, change, out=room[: len(some)])
+        np.put(to_square, some, s.view(whole).ravel())
+        s += 1
+        np.sqrt(s, out=s)
+        change /= s
+        change *= rate
+        new = weights.take(some, axis=0)
+        new -= change
+        np.put(to_weights, some, new.view(whole).ravel())
+
+
+def learn(docs: DataFrame, model: tuple, listed: Listed, rate: float, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray]:
     """One round over ``docs`` (text): the weights of ``model`` after averaged changes."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model, listed))
-    modelled, named = told
 
     def run(batches):
         import pyarrow as pa
 
         (first, second, barred, empty), listed = shared.value
-        lexicon = Lexicon(listed, modelled, named)
+        lexicon = listed.lexicon()
         own = [first.copy(), second.copy()]
         square = [np.zeros_like(first), np.zeros_like(second)]
 
@@ -363,9 +456,10 @@ def learn(docs: DataFrame, model: tuple, listed: list, told: tuple[int, int], ra
             every = histories(x, ends, lexicon)
             for i in range(0, len(x), BATCH):
                 part, f = x[i : i + BATCH], every[:, i : i + BATCH]
-                at, p, inner, k, at2, p2 = forward(part, f, (*own, barred, empty), lexicon)
+                steps = lexicon.steps(part)
+                at, p, inner, k, at2, p2 = forward(part, f, (*own, barred, empty), lexicon, steps)
                 p[np.arange(len(part)), lexicon.cls[part]] -= 1
-                p2[np.arange(len(inner)), lexicon.steps(part)[2]] -= 1
+                p2[np.arange(len(inner)), steps[2]] -= 1
                 for a in at:
                     scatter(own[0], square[0], a, p, rate)
                 scatter(own[0], square[0], np.zeros(1, np.int64), p.sum(axis=0, keepdims=True), rate)
@@ -441,12 +535,13 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
         k = ending(w.encode()) % CLASSES
         mass[k] -= c
         kinds[k] -= 1
-    model = start(listed, mass, Lexicon(listed, modelled, named), buckets)
+    shelf = Listed(listed, modelled, named)
+    model = start(listed, mass, shelf.lexicon(), buckets)
     learners = max(1, -(-total // LEARNER_TOKENS))
     for i, folds in enumerate(ROUNDS):
         shard = own.filter(F.col("fold").isin(*folds)).select("text").coalesce(int(learners))
-        model = (*learn(shard, model, listed, (modelled, named), rate / (i + 1), work, f"round-{i}"), *model[2:])
-    shared = spark.sparkContext.broadcast((model, listed, np.log10(np.array(mass, float) + np.array(kinds) + 1)))
+        model = (*learn(shard, model, shelf, rate / (i + 1), work, f"round-{i}"), *model[2:])
+    shared = spark.sparkContext.broadcast((model, shelf, np.log10(np.array(mass, float) + np.array(kinds) + 1)))
     room = float(np.log10(total + distinct + 1))
 
     def run(batches):
@@ -454,7 +549,7 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
         from pyspark import TaskContext
 
         model, listed, shares = shared.value
-        lexicon = Lexicon(listed, modelled, named)
+        lexicon = listed.lexicon()
         shares = np.concatenate([np.zeros(CLASSES), shares, np.zeros(lexicon.trees)])
         logs = np.log10(lexicon.count + 1.0)
         row = TaskContext.get().partitionId() << 40
@@ -465,10 +560,11 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
             every = histories(x, ends, lexicon)
             for i in range(0, len(x), BATCH):
                 part = x[i : i + BATCH]
-                _, p, inner, _, _, p2 = forward(part, every[:, i : i + BATCH], model, lexicon)
+                steps = lexicon.steps(part)
+                _, p, inner, _, _, p2 = forward(part, every[:, i : i + BATCH], model, lexicon, steps)
                 k = lexicon.cls[part]
                 s = np.log10(np.maximum(p[np.arange(len(part)), k], 1e-30)) - shares[k] + np.where(lexicon.modelled[part], 0, logs[part])
-                s += np.bincount(inner, np.log10(np.maximum(p2[np.arange(len(inner)), lexicon.steps(part)[2]], 1e-30)), len(part))
+                s += np.bincount(inner, np.log10(np.maximum(p2[np.arange(len(inner)), steps[2]], 1e-30)), len(part))
                 out[i : i + BATCH] = s
             return out
 
