@@ -9,8 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch handed to Python; bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes at which an Arrow batch goes to Python; a batch exceeds the bytes by its last row at most.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -51,11 +51,14 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the Arrow batch size of the session, so that a batch of long texts stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Lower the Arrow batch sizes of the session, so that a batch of long texts stays small; smaller ones stay as they are."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    jvm = spark.sparkContext._jvm
+    if jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
