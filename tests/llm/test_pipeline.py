@@ -5,7 +5,7 @@ from test_neardup import components
 from test_packing import check
 
 import corpus_pipeline
-from bramble.llm import decontaminate, packing
+from bramble.llm import decontaminate, packing, quality
 from bramble.llm.common import Workspace, load
 
 
@@ -48,3 +48,16 @@ def test_awkward_documents(spark, docs_folder):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
     assert {None, 5, 7, 9}.issubset(got | {7}) and got <= {r[0] for r in awkward()}
     assert corpus_pipeline.run(spark, docs_folder([], labels=labels, benchmark=bench)).count() == 0
+
+
+def test_quality_stage_learns_all_trusted_texts(spark, docs_folder, monkeypatch):
+    """Bounds of a sample don't reach the pipeline: junk is rejected in every language."""
+    monkeypatch.setattr(quality, "LANGUAGES", 1)
+    monkeypatch.setattr(quality, "TRAINED", 1)
+    words = {"en": "the cat dog sat on mat ran and to a".split(), "de": "der hund die katze und lief zu dem haus".split()}
+    rows = [(2 * i + (g == "de"), " ".join(words[g][(i * j + j) % len(words[g])] for j in range(20)), g, "s", 1) for i in range(40) for g in words]
+    rows += [(100, "#qz xv##" * 9, "en", "s", 1), (101, "#qz xv##" * 9, "de", "s", 1)]
+    folder = docs_folder(rows, labels=([(r[0], 1, 0) for r in rows if r[0] < 100], "doc_id long, quality int, toxic int"))
+    docs = load(spark, folder, "documents")
+    kept = {x["doc_id"] for x in corpus_pipeline.quality_stage(spark, docs, folder).collect()}
+    assert not kept & {100, 101} and len(kept) >= 70
