@@ -377,13 +377,18 @@ def gathered(weights: np.ndarray, z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return z
 
 
+def rest(f: np.ndarray, n: int) -> np.ndarray:
+    """``f`` modulo ``n``; numpy divides by one number faster than it takes rests."""
+    return (f - f // np.uint64(n) * np.uint64(n)).astype(np.int64)
+
+
 def forward(x: np.ndarray, f: np.ndarray, model: tuple, lexicon: Lexicon, steps: tuple | None = None):
     """Class shares of all tokens; of each step within a class (``Lexicon.steps``) its token, node, features and slot shares."""
     first, second, barred, empty = model
-    at = (CLASS + f % np.uint64(len(first) - CLASS)).astype(np.int64)
+    at = CLASS + rest(f, len(first) - CLASS)
     z = gathered(first, np.tile(first[0] + barred, (len(x), 1)), at)
     inner, k, _ = steps or lexicon.steps(x)
-    at2 = (lexicon.reserved + (f[:, inner] * np.uint64(33) + k.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(len(second) - lexicon.reserved)).astype(np.int64)
+    at2 = lexicon.reserved + rest(f.take(inner, axis=1) * np.uint64(33) + k.astype(np.uint64) * np.uint64(0x9E3779B1), len(second) - lexicon.reserved)
     z2 = gathered(second, (second[: len(empty)] + empty).take(k, axis=0), at2)
     return at, softmax(z), inner, k, at2, softmax(z2)
 
@@ -419,22 +424,22 @@ def scatter(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, g: np.nda
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     n = np.diff(first, append=len(rows))
-    longest = np.argsort(-n, kind="stable")
+    longest = np.argsort((-n).astype(np.int16) if len(rows) < 1 << 15 else -n, kind="stable")  # a radix sort, too
     first, n = first[longest], n[longest]
     total, at = summed(g, order, first, n), rows[first]
     whole = np.dtype((np.void, weights.strides[0]))  # a row as one item, which is written at once
     to_weights, to_square = weights.view(whole).ravel(), square.view(whole).ravel()
-    room = np.empty((min(CHUNK, len(at)), g.shape[1]), g.dtype)
+    room, held, new_held = (np.empty((min(CHUNK, len(at)), g.shape[1]), g.dtype) for _ in range(3))
     for i in range(0, len(at), CHUNK):  # pieces that stay in the processor's cache
         some, change = at[i : i + CHUNK], total[i : i + CHUNK]
-        s = square.take(some, axis=0)
+        s = square.take(some, axis=0, out=held[: len(some)], mode="clip")
         s += np.multiply(change, change, out=room[: len(some)])
         np.put(to_square, some, s.view(whole).ravel())
         s += 1
         np.sqrt(s, out=s)
         change /= s
         change *= rate
-        new = weights.take(some, axis=0)
+        new = weights.take(some, axis=0, out=new_held[: len(some)], mode="clip")
         new -= change
         np.put(to_weights, some, new.view(whole).ravel())
 

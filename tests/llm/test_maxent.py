@@ -118,3 +118,9 @@ def test_history_tells_rarer_words_apart(spark, docs_folder, monkeypatch):
     got = maxent.op9_maxent(spark, docs_folder(rows)).collect()
     seen = [r for r in got if r["n_tokens"] == 81]
     assert len(seen) == 60 and sum(r["score"] for r in seen) > sum(r["base_score"] for r in seen) + 60
+
+
+def test_rests():
+    f = np.array([[0, 1, 31, 32, (1 << 64) - 1], [65503, 65504, 65505, 1 << 63, 12345678901234567890]], np.uint64)
+    for n in (1, 31, 65504, 32736):
+        assert (maxent.rest(f, n) == f % np.uint64(n)).all()
