@@ -24,6 +24,7 @@ training tokens every score is that of the untrained model.
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,7 +80,11 @@ def tokens(texts: list[str | None], powers: Powers) -> tuple[bytes, np.ndarray,
     A word's hash is the difference of running sums, so no word is touched by itself.
     """
     parts = [(t or "").encode() for t in texts]
-    data = b" " + b" ".join(parts).lower() + b" "
+    return hashed(b" " + b" ".join(parts).lower() + b" ", np.array([len(p) for p in parts], np.int64), powers)
+
+
+def hashed(data: bytes, sizes: np.ndarray, powers: Powers) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of lower-cased texts of these sizes, each between spaces."""
     raw = np.frombuffer(data, np.uint8)
     space = SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -95,23 +100,55 @@ def tokens(texts: list[str | None], powers: Powers) -> tuple[bytes, np.ndarray,
         i = j
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + (ends - starts).astype(np.uint64)
     h ^= h >> np.uint64(29)
-    firsts = np.cumsum([1, *(len(p) + 1 for p in parts)])[:-1]
-    return data, starts, ends, h | np.uint64(1), np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(starts, [*firsts, len(raw)])))
+    firsts = np.cumsum(sizes + 1) - sizes
+    return data, starts, ends, h | np.uint64(1), np.repeat(np.arange(len(sizes)), np.diff(np.searchsorted(starts, np.append(firsts, len(raw)))))
 
 
 def ending(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "replace").rstrip(".,")[-3:].encode()) % ENDINGS
 
 
-def endings(listed: list[tuple[str, int]]) -> np.ndarray:
-    return np.array([ending(w.encode()) for w, _ in listed], np.int16)
+class Counted:
+    """Lower-cased words and their counts in arrays, so that no word is an object in the driver or in what is broadcast."""
+
+    def __init__(self, data: bytes, sizes: np.ndarray, counts: np.ndarray):
+        self.data, self.sizes, self.counts = data, sizes, counts  # each word between spaces
+
+    @classmethod
+    def of(cls, listed: Counted | list[tuple[str, int]]) -> Counted:
+        if isinstance(listed, cls):
+            return listed
+        parts = [w.encode().lower() for w, _ in listed]
+        return cls(b" " + b" ".join(parts) + b" ", np.array([len(p) for p in parts], np.int64), np.array([c for _, c in listed], np.int64))
+
+    @classmethod
+    def collected(cls, df: DataFrame) -> Counted:
+        """Rows of ``df`` (word, c): the end token, then the commonest first, equally common ones by their bytes."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = df.select("word", "c").toArrow()
+        words, c = found["word"].cast(pa.large_string()), found["c"]
+        del found
+        order = pc.sort_indices(pa.table([pc.equal(words, END.decode()).cast(pa.int8()), c, words], ["end", "c", "word"]), [("end", "descending"), ("c", "descending"), ("word", "ascending")])
+        words = pa.concat_arrays(words.chunks).take(order) if len(order) else pa.array([], pa.large_string())
+        sizes = pc.binary_length(words).to_numpy()
+        spaced = pc.binary_join_element_wise(words, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())).buffers()[2]
+        return cls(b" " + (spaced.slice(0, int((sizes + 1).sum())).to_pybytes() if len(sizes) else b""), sizes, c.take(order).to_numpy())
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def endings(self) -> np.ndarray:
+        ends = np.cumsum(self.sizes + 1)
+        return np.fromiter((ending(self.data[b - n : b]) for b, n in zip(ends, self.sizes)), np.int16, len(self))
 
 
 class Listed:
     """What a lexicon is built from, to be broadcast; a worker builds it once for all its tasks of a stage."""
 
-    def __init__(self, listed: list[tuple[str, int]], modelled: int, named: int):
-        self.parts = (listed, modelled, named, endings(listed))
+    def __init__(self, listed: Counted, modelled: int, named: int):
+        self.parts = (listed, modelled, named, listed.endings())
         self.built: Lexicon | None = None
 
     def __getstate__(self):
@@ -221,15 +258,14 @@ def portions(texts, most: int = 1 << 19):
 class Lexicon:
     """word -> position in tables of class, slot, history hash and count; words not listed fall to their ending's position."""
 
-    def __init__(self, listed: list[tuple[str, int]], modelled: int, named: int = NAMED, tails: np.ndarray | None = None):
+    def __init__(self, listed: Counted | list[tuple[str, int]], modelled: int, named: int = NAMED, tails: np.ndarray | None = None):
         self.powers = Powers()
-        data, starts, ends, h, which = tokens([w for w, _ in listed], self.powers)  # the end token alone has no word
-        self.keys, self.values = hash_table(h, which)
-        self.end = next((i for i, (w, _) in enumerate(listed) if not w), len(listed) + ending(END))
+        self.listed = listed = Counted.of(listed)
         n = len(listed)
         self.n = n
+        self.end = next(iter(np.flatnonzero(listed.sizes == 0).tolist()), n + ending(END))
         place = np.arange(n + ENDINGS)
-        tail = np.concatenate([endings(listed) if tails is None else tails, np.arange(ENDINGS)]).astype(np.int64)
+        tail = np.concatenate([listed.endings() if tails is None else tails, np.arange(ENDINGS)]).astype(np.int64)
         self.told = min(modelled, n)
         self.modelled = place < self.told
         self.cls = np.where(self.modelled, place // CLASS, CLASSES + tail % CLASSES)
@@ -249,11 +285,17 @@ class Lexicon:
                 self.way.append((np.where(inside, self.nodes + q // CLASS**d, -1), q // CLASS ** (d - 1) % CLASS))
                 self.nodes += -(-deep // CLASS**d)
         self.reserved = -(-self.nodes // BLOCK) * BLOCK if self.nodes > CLASS else CLASS
-        self.count = np.array([c for _, c in listed] + [0] * ENDINGS, np.int64)
+        self.count = np.concatenate([listed.counts, np.zeros(ENDINGS, np.int64)])
         history = np.where(place < min(named, n), place, named + tail).astype(np.uint64)
         self.history = (history + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
         self.history ^= self.history >> np.uint64(32)
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Listed words by hash; the driver looks none up and so doesn't build it."""
+        _, _, _, h, which = hashed(self.listed.data, self.listed.sizes, self.powers)  # the end token alone has no word
+        return hash_table(h, which)
+
     def steps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which tokens take a step of the second softmax, at which nodes, and to which slots."""
         inner, k, slot = [], [], []
@@ -268,7 +310,7 @@ class Lexicon:
     def positions(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
         """Positions of all tokens, which of them end a text, and (text, word) of those that aren't listed."""
         data, starts, ends, h, which = tokens(texts, self.powers)
-        at = find(self.keys, self.values, h)
+        at = find(*self.table, h)
         rest = []
         for i in np.flatnonzero(at < 0).tolist():
             word = data[starts[i] : ends[i]]
@@ -314,12 +356,12 @@ def find(slots: np.ndarray, held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def start(listed: list[tuple[str, int]], mass: list[int], lexicon: Lexicon, buckets: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def start(listed: Counted | list[tuple[str, int]], mass: list[int], lexicon: Lexicon, buckets: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First weights (shares without a history) of both softmaxes, and what is added to bar classes and slots without words."""
     buckets = buckets or BUCKETS
     wide, more = 2 * CLASSES + lexicon.trees, lexicon.reserved if lexicon.nodes > CLASS else 0
     first, second = np.zeros((buckets, wide), np.float32), np.zeros((buckets + more, CLASS), np.float32)
-    told = np.array([c for _, c in listed[: lexicon.told]], np.float64)
+    told = lexicon.count[: lexicon.told].astype(np.float64)
     every = sum(mass) + told.sum() + 1
     barred, empty = np.zeros(wide, np.float32), np.full((lexicon.nodes, CLASS), -1e9, np.float32)
     held = np.zeros((lexicon.nodes, CLASS))
@@ -444,8 +486,8 @@ def scatter(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, g: np.nda
         np.put(to_weights, some, new.view(whole).ravel())
 
 
-def learn(docs: DataFrame, model: tuple, listed: Listed, rate: float, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """One round over ``docs`` (text): the weights of ``model`` after averaged changes."""
+def learn(docs: DataFrame, model: tuple, listed: Listed, rate: float, work: Workspace, name: str) -> None:
+    """One round over ``docs`` (text): adds the averaged changes to the weights of ``model``, which learners have a copy of."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model, listed))
 
@@ -504,14 +546,13 @@ def learn(docs: DataFrame, model: tuple, listed: Listed, rate: float, work: Work
 
     parts = (len(model[0]) + len(model[1])) // BLOCK
     moved = docs.mapInArrow(run, "block int, change binary, rows binary").repartition(max(min(parts, 16), parts // 32), "block").mapInArrow(average, "block int, change binary")
-    out = [model[0].copy(), model[1].copy()]
-    for block, change in work.table(moved, name).collect():  # as many rows as the model has blocks
+    changes = work.table(moved, name)
+    shared.destroy()
+    for block, change in changes.toLocalIterator():  # as many rows as the model has blocks, a few files at a time
         which, b = block >> 20, block & (1 << 20) - 1
-        width = out[which].shape[1]
-        out[which][b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(change, np.float32).reshape(-1, width)
+        width = model[which].shape[1]
+        model[which][b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(change, np.float32).reshape(-1, width)
     work.drop(name)
-    shared.destroy()
-    return out[0], out[1]
 
 
 def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
@@ -530,22 +571,20 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
         if listed_n + r["v"] > FREQUENT:
             break
         least, listed_n = r["least"], listed_n + r["v"]
-    frequent = lexical.filter(F.col("c") >= least).collect() if least is not None else []  # FREQUENT at most
-    listed = sorted(((r["word"], r["c"]) for r in frequent), key=lambda x: (x[0] != "", -x[1], x[0]))
+    listed = Counted.collected(lexical.filter(F.col("c") >= least)) if least is not None else Counted.of([])  # FREQUENT at most
     tail = F.pmod(F.pmod(F.crc32(F.expr("right(rtrim('.,', word), 3)")), F.lit(ENDINGS)), F.lit(CLASSES))
     sums = {r["k"]: (r["n"], r["v"]) for r in lexical.groupBy(tail.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     mass, kinds = [sums.get(k, (0, 0))[0] for k in range(CLASSES)], [sums.get(k, (0, 0))[1] for k in range(CLASSES)]
-    modelled, named, buckets = sizes_for(total, sum(c >= LEARNT for _, c in listed))
-    for w, c in listed[:modelled]:
-        k = ending(w.encode()) % CLASSES
-        mass[k] -= c
-        kinds[k] -= 1
+    modelled, named, buckets = sizes_for(total, int((listed.counts >= LEARNT).sum()))
     shelf = Listed(listed, modelled, named)
-    model = start(listed, mass, shelf.lexicon(), buckets)
+    for k, c in zip(shelf.parts[3][:modelled] % CLASSES, listed.counts[:modelled]):
+        mass[k] -= int(c)
+        kinds[k] -= 1
+    model = start(listed, mass, Lexicon(*shelf.parts), buckets)
     learners = max(1, -(-total // LEARNER_TOKENS))
     for i, folds in enumerate(ROUNDS):
         shard = own.filter(F.col("fold").isin(*folds)).select("text").coalesce(int(learners))
-        model = (*learn(shard, model, shelf, rate / (i + 1), work, f"round-{i}"), *model[2:])
+        learn(shard, model, shelf, rate / (i + 1), work, f"round-{i}")
     shared = spark.sparkContext.broadcast((model, shelf, np.log10(np.array(mass, float) + np.array(kinds) + 1)))
     room = float(np.log10(total + distinct + 1))
 
@@ -593,6 +632,7 @@ def score(docs: DataFrame, *, rate: float = 0.15) -> DataFrame:
 
     schema = "row long, doc_id long, fold long, n_tokens long, n_known long, base double, score double, rest array<string>"
     seen = work.table(own.select("doc_id", "text", F.col("fold").cast("long")).mapInArrow(run, schema), "scored")
+    shared.destroy()
     # counts of rarer words: every one adds the same to both scores
     rare = seen.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
     few = lexical.filter(F.col("c") < least) if least is not None else lexical

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -124,3 +125,22 @@ def test_rests():
     f = np.array([[0, 1, 31, 32, (1 << 64) - 1], [65503, 65504, 65505, 1 << 63, 12345678901234567890]], np.uint64)
     for n in (1, 31, 65504, 32736):
         assert (maxent.rest(f, n) == f % np.uint64(n)).all()
+
+
+def test_driver_holds_listed_words_in_arrays(spark, docs_folder):
+    texts = [" ".join(f"word{j}" for j in range(i, 120_000, 30)) for i in range(30)]
+    folder = docs_folder([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    tracemalloc.start()
+    try:
+        maxent.op9_maxent(spark, folder)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20  # 90 with a row, a tuple and a string for each word
+    finally:
+        tracemalloc.stop()
+
+
+def test_listed_words_are_in_order(spark):
+    rows = [("", 2), ("b", 2), ("\uffee", 7), ("\U0001f600", 7), ("a.", 7), ("\u00e9", 2)]
+    got = maxent.Counted.collected(spark.createDataFrame(rows, "word string, c long").repartition(3))
+    want = maxent.Counted.of([rows[i] for i in (0, 4, 2, 3, 1, 5)])
+    assert (got.data, got.sizes.tolist(), got.counts.tolist()) == (want.data, want.sizes.tolist(), want.counts.tolist())
+    assert len(maxent.Counted.collected(spark.createDataFrame([], "word string, c long"))) == 0
